@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,17 +13,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, eagerly.
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    The folder is that of ``spark.checkpoint.dir``, which a cluster points at
-    shared storage. Only where the session names none (tests, a laptop) a
-    temporary folder is set.
+    A cluster points ``spark.checkpoint.dir`` at shared storage. Only where the
+    session names none (tests, a laptop) a temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="refweave-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to a table in the shared folder and go on from there.
+
+    Like an eager checkpoint, but compressed, columnar, with exact statistics
+    for the planner and without the constraints of the plan behind it, whose
+    inference takes ever longer in a loop.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._refweave_path = path  # noqa: SLF001
+    return kept
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a result of ``cut`` that nothing reads any more."""
+    path = getattr(df, "_refweave_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
 
 
 def parallelism(df: DataFrame) -> int:
