@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refweave.sources.tables import cut
+from refweave.sources.tables import cut, drop
 
-BETA, HOPS = 0.5, 3
+BETA, HOPS = 0.1, 3
 
 
 def _decomposed(edges: DataFrame, level: int, seed: int) -> DataFrame:
@@ -34,6 +34,7 @@ def _decomposed(edges: DataFrame, level: int, seed: int) -> DataFrame:
             now = now.select("node", "reach").union(heard).groupBy("node").agg(F.min("reach").alias("reach"))
         now = cut(now)
         changed = now.alias("n").join(reach.alias("r"), "node").where("n.reach <> r.reach").limit(1).count()
+        drop(reach)
         reach = now
         if not changed:
             return reach.select("node", F.col("reach.center").alias("center"))
