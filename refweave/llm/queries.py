@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm import bagminhash, lowdiam, mixing, repetition, tokens, unify, windows
+from refweave.llm import bagminhash, lowdiam, mixing, names, repetition, retrieve, survivor, tokens, unify, windows
 from refweave.sources.tables import cut, table
 
 
@@ -21,6 +21,26 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.canonical_values(values).select(F.col("key").alias("refid"), "fieldname", "canonical")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.resolved_names(table(spark, sf_dir, "refmetas"), table(spark, sf_dir, "authnames"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.survivors(*(table(spark, sf_dir, t) for t in ("refmetas", "dupmembers", "pipelines")))
+
+
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.consensus_values(*(table(spark, sf_dir, t) for t in ("refmetas", "dupmembers", "pipelines")))
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.matches(table(spark, sf_dir, "refmetas"), table(spark, sf_dir, "catrecs"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).where("confidence >= 0.5").select("refid", "catid")
+
+
 def _reference_texts(spark: SparkSession, sf_dir: str, least: int) -> tuple[DataFrame, DataFrame]:
     """(refid, text) in normal form, and each text once under its smallest refid."""
     whole = unify.consistent(F.coalesce("refstring", "title"))
@@ -86,7 +106,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_canonical, p5_found, p5_shingle_groups, p6_found, p8_windows, p8_fill_rates, p9_mixes, p9_shares, p10_found, p10_repetition]
+    named = [p1_found, p1_canonical, p2_found, p3_found, p3_consensus, p4_found, p4_matches, p5_found, p5_shingle_groups, p6_found, p8_windows, p8_fill_rates, p9_mixes, p9_shares, p10_found, p10_repetition]
     return {f.__name__: f for f in named}
 
 

@@ -188,3 +188,26 @@ def canonical_values(values: DataFrame) -> DataFrame:
         from {view} v join classes c on v.skeleton = c.skeleton and collate(v.plain, 'UNICODE') = c.class
         """
     )
+
+
+@lru_cache(1)
+def _bare_letters() -> dict[str, str]:
+    """Lower-case accented letters and the letter under the accent, by decomposition, and a few that don't decompose."""
+    bare = {"ø": "o", "ł": "l", "đ": "d", "ı": "i"}
+    for code in [*range(0xE0, 0x180), *range(0x430, 0x460), *range(0x1E00, 0x1F00)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and chr(code).islower():
+            bare[chr(code)] = parts[0]
+    return bare
+
+
+def compared(value: Column, keep: str = "") -> Column:
+    """A form for comparison: consistent, lower case, without accents, umlauts and their spellings alike, words parted by one space.
+
+    keep: further characters that stay, as the body of a character class.
+    """
+    bare = _bare_letters()
+    text = F.translate(F.lower(consistent(value)), "".join(bare), "".join(bare.values()))
+    text = F.replace(F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+    text = F.regexp_replace(text, "([aou])e", "$1")
+    return F.trim(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{keep}]+", " "))
