@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refweave.plans import skew
+from refweave.plans import linkage, scalars, skew
 
-MODULES = (skew,)
+MODULES = (skew, scalars, linkage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
