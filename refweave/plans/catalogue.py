@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refweave.plans import linkage, scalars, skew
+from refweave.plans import linkage, models, scalars, skew
 
-MODULES = (skew, scalars, linkage)
+MODULES = (skew, scalars, linkage, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
