@@ -18,12 +18,14 @@ smaller refid; repeated members count once; no usable value, no row.
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refweave.llm.unify import compared
-from refweave.sources.tables import cut
+from refweave.sources.tables import cut, parallelism
 
 CHUNK = 200
 
@@ -44,7 +46,27 @@ def usable(field: str, value: Column, compared_value: Column) -> Column:
 
 
 def _aligned(columns: list[dict], tokens: list[str], weight: float) -> list[dict]:
-    """The columns after one more line: dynamic programming over columns and tokens."""
+    """The columns after one more line: dynamic programming over columns and tokens.
+
+    The ends that agree with what the columns hold are taken as they are, so
+    that the quadratic part is only what differs.
+    """
+    voted = max((sum(c.values()) for c in columns), default=0.0)
+    head, limit = 0, min(len(columns), len(tokens))
+    while head < limit and tokens[head] in columns[head]:
+        columns[head][tokens[head]] += weight
+        head += 1
+    tail = 0
+    while tail < limit - head and tokens[-1 - tail] in columns[-1 - tail]:
+        columns[-1 - tail][tokens[-1 - tail]] += weight
+        tail += 1
+    if head + tail == len(columns) == len(tokens):
+        return columns
+    end = len(columns) - tail
+    return columns[:head] + _aligned_middle(columns[head:end], tokens[head : len(tokens) - tail], weight, voted) + columns[end:]
+
+
+def _aligned_middle(columns: list[dict], tokens: list[str], weight: float, voted: float) -> list[dict]:
     n, m = len(columns), len(tokens)
     totals = [sum(c.values()) for c in columns]
     gain = [[0.0] * (m + 1) for _ in range(n + 1)]
@@ -62,12 +84,11 @@ def _aligned(columns: list[dict], tokens: list[str], weight: float) -> list[dict
             if j and gain[i][j - 1] - 0.5 > best:
                 best, way = gain[i][j - 1] - 0.5, 3
             gain[i][j], step[i][j] = best, way
-    voted = max(totals, default=0.0)
     out = []
     i, j = n, m
     while i or j:
         way = step[i][j]
-        column = dict(columns[i - 1]) if way != 3 else {"": voted}
+        column = columns[i - 1] if way != 3 else {"": voted}
         word = tokens[j - 1] if way != 2 else ""
         column[word] = column.get(word, 0.0) + weight
         out.append(column)
@@ -86,9 +107,21 @@ def consensus_line(lines: list[tuple[str, float]]) -> str:
     return " ".join(w for w in winners if w)
 
 
-def _chunk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    line = consensus_line(list(zip(group["line"], group["weight"], strict=True)))
-    return pd.DataFrame({"duplicateid": [key[0]], "fieldname": [key[1]], "line": [line], "weight": [float(group["weight"].sum())]})
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The consensus of each run of equal keys in sorted rows; a run may go on in the next batch."""
+    names = ["duplicateid", "fieldname", "chunk"]
+    key, held = None, []
+    for batch in batches:
+        out = []
+        for *own, line, weight in zip(*(batch[c] for c in (*names, "line", "weight")), strict=True):
+            if own != key:
+                if held:
+                    out.append((key[0], key[1], consensus_line(held), sum(w for _, w in held)))
+                key, held = own, []
+            held.append((line, weight))
+        yield pd.DataFrame(out, columns=["duplicateid", "fieldname", "line", "weight"])
+    if held:
+        yield pd.DataFrame([(key[0], key[1], consensus_line(held), sum(w for _, w in held))], columns=["duplicateid", "fieldname", "line", "weight"])
 
 
 def consensus(lines: DataFrame) -> DataFrame:
@@ -102,7 +135,9 @@ def consensus(lines: DataFrame) -> DataFrame:
         done.append(lines.join(single, ["duplicateid", "fieldname"], "left_semi"))
         rest = lines.join(sizes.where("count > 1"), ["duplicateid", "fieldname"])
         chunk = F.pmod(F.xxhash64("line"), F.greatest(F.lit(1), F.ceil(F.col("count") / CHUNK)))
-        lines = cut(rest.withColumn("chunk", chunk).groupBy("duplicateid", "fieldname", "chunk").applyInPandas(_chunk, schema))
+        keys = ["duplicateid", "fieldname", "chunk"]
+        rest = rest.select("duplicateid", "fieldname", chunk.alias("chunk"), "line", "weight").repartition(parallelism(lines), *keys).sortWithinPartitions(*keys)
+        lines = cut(rest.mapInPandas(_chunks, schema))
         if lines.isEmpty():
             break
         sizes = lines.groupBy("duplicateid", "fieldname").count()
