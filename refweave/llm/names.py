@@ -65,13 +65,18 @@ def _reading(sur: Column, given: Column) -> Column:
     return F.struct(F.trim(F.when(F.length(bare) > 1, bare).otherwise(sur)).alias("spelling"), F.trim(given).alias("given"))
 
 
-def readings(sur: Column, init: Column, first: Column) -> Column:
-    """All ways to read a typed person's name as spelling and given name."""
-    text = F.trim(F.regexp_replace(compared(sur, keep=","), BESIDE, ""))
-    left, right = F.trim(F.substring_index(text, ",", 1)), F.trim(F.regexp_replace(F.substring(text, F.instr(text, ",") + 1, F.lit(10_000)), "[^\\p{L}\\p{N}]+", " "))
-    plain = F.trim(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " "))
+def prepared(sur: Column, init: Column, first: Column) -> list[Column]:
+    """``text``, the typed surname field for comparison, and ``own``, the given name or initial beside it."""
     beside = lambda c: compared(F.when(F.instr(c, "_") > 0, F.substring_index(c, "_", -1)))
-    own = F.coalesce(F.nullif(beside(first), F.lit("")), beside(init), F.lit(""))
+    text = F.trim(F.regexp_replace(compared(sur, keep=","), BESIDE, ""))
+    return [text.alias("text"), F.coalesce(F.nullif(beside(first), F.lit("")), beside(init), F.lit("")).alias("own")]
+
+
+def readings(text: Column, own: Column) -> Column:
+    """All ways to read a prepared name as spelling and given name."""
+    plainly = lambda c: F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " "))
+    left, right = F.trim(F.substring_index(text, ",", 1)), plainly(F.substring(text, F.instr(text, ",") + 1, F.lit(10_000)))
+    plain = plainly(text)
     words = F.split(plain, " ")
     n = F.size(words)
     joined = lambda part: F.array_join(part, " ")
@@ -87,23 +92,28 @@ def readings(sur: Column, init: Column, first: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*forms), lambda r: r.isNotNull() & (F.length(r["spelling"]) > 1)))
 
 
-def _given_fit(given: Column, forms: Column, initials: Column) -> Column:
+def with_full(records: DataFrame) -> DataFrame:
+    """Adds ``full``: the given name's first word, a familiar form as the name it stands for."""
+    first = F.substring_index("given", " ", 1)
+    names = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
+    return records.withColumn("full", F.coalesce(F.element_at(names, first), first))
+
+
+def _given_fit(given: Column, full: Column, forms: Column, initials: Column) -> Column:
     """3 the given name, 2 its beginning, 1 its initial, 0 nothing to compare, -1 against it."""
-    first = F.element_at(F.split(given, " "), 1)
-    nick = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
-    full = F.coalesce(F.element_at(nick, first), first)
+    first = F.substring_index(given, " ", 1)
     same = F.exists(forms, lambda f: (f == full) | (f == first) | ((F.length(full) >= 4) & (F.length(f) >= 4) & (F.levenshtein(f, full) <= F.when(F.length(full) >= 6, 2).otherwise(1))))
     begins = F.exists(forms, lambda f: f.startswith(first))
     return F.when(F.length(given) == 0, 0).when(same, 3).when(begins & (F.length(first) > 1), 2).when(F.array_contains(initials, F.substring(first, 1, 1)) & (F.length(first) == 1), 1).otherwise(-1)
 
 
 def resolve(profiles: DataFrame, records: DataFrame, fit) -> DataFrame:
-    """(rec, nameid): records (rec, spelling, given), one row per reading, resolved to profiles (nameid, spelling, given).
+    """(rec, nameid): records (rec, spelling, given, full), one row per reading, resolved to profiles (nameid, spelling, given).
 
-    fit(given, forms, initials): how well a given part fits those of a profile, -1 if it speaks against it.
+    fit(given, full, forms, initials): how well a given part fits those of a profile, -1 if it speaks against it.
     """
     records = cut(records.where("spelling is not null and length(spelling) > 1"))
-    blocks = cut(records.withColumn("block", F.explode(_deletions(F.col("spelling")))).select("block", "rec", "spelling", "given"))
+    blocks = cut(records.withColumn("block", F.explode(_deletions(F.col("spelling")))).select("block", "rec", "spelling", "given", "full"))
     evidence = cut(profiles.select("nameid", "spelling", "given").distinct())
     fresh, resolved = evidence, None
     for _ in range(ROUNDS):
@@ -111,10 +121,10 @@ def resolve(profiles: DataFrame, records: DataFrame, fit) -> DataFrame:
         spelt = fresh.select("nameid", F.col("spelling").alias("known")).distinct()
         open_blocks = blocks if resolved is None else blocks.join(resolved, "rec", "left_anti")
         met = open_blocks.join(spelt.withColumn("block", F.explode(_deletions(F.col("known")))), "block")
-        met = met.groupBy("rec", "spelling", "given", "nameid").agg(F.min(F.levenshtein("spelling", "known")).alias("away"))
+        met = met.groupBy("rec", "spelling", "given", "full", "nameid").agg(F.min(F.levenshtein("spelling", "known")).alias("away"))
         # Two changed letters are at most a transposition; short names must agree.
         met = met.where("away <= least(2, length(spelling) div 4)")
-        fits = met.join(forms, "nameid").withColumn("fit", fit(F.col("given"), F.col("forms"), F.col("initials"))).where("fit >= 0")
+        fits = met.join(forms, "nameid").withColumn("fit", fit(F.col("given"), F.col("full"), F.col("forms"), F.col("initials"))).where("fit >= 0")
         best = fits.groupBy("rec", "nameid").agg(F.max(F.struct((-F.col("away")).alias("near"), "fit", "spelling", "given")).alias("best"))
         ranks = best.select("rec", "nameid", "best.*")
         first = Window.partitionBy("rec")
@@ -147,14 +157,18 @@ def _publisher_words(authority: DataFrame) -> tuple[list[str], list[str]]:
     return general, [r.p for r in places.collect()]
 
 
-def publisher_reading(name: Column, general: list[str], places: list[str]) -> Column:
-    """A publisher's name as spelling (its own words, sorted) and given part (its general words, sorted)."""
+def publisher_text(name: Column, places: list[str]) -> Column:
+    """A publisher's name for comparison, without legal form and place."""
     text = F.trim(F.regexp_replace(compared(name), LEGAL, ""))
-    for place in places:
-        text = F.trim(F.regexp_replace(text, rf"(?:^|(?<= )){place}(?= |$)", ""))
+    if places:
+        text = F.trim(F.regexp_replace(text, rf"(?:^|(?<= ))(?:{'|'.join(places)})(?= |$)", ""))
+    return F.regexp_replace(text, r"\b(?:u p|up)\b", "university press")
+
+
+def publisher_reading(text: Column, general: list[str]) -> Column:
+    """A prepared publisher's name as spelling (its own words, sorted) and given part (its general words, sorted)."""
     known = F.array(*[F.lit(g) for g in general]) if general else F.array().cast("array<string>")
     short = F.create_map(*[F.lit(x) for kv in SHORTENED.items() for x in kv])
-    text = F.regexp_replace(text, r"\b(?:u p|up)\b", "university press")
     words = F.transform(F.filter(F.split(text, " +"), lambda w: (F.length(w) > 0) & ~w.isin(*JOINING)), lambda w: F.coalesce(F.element_at(short, w), w))
     # A beginning of general words stays as it is written, as it may be that of several.
     typo = lambda w: F.get(F.filter(known, lambda g: (F.length(w) >= 5) & (F.levenshtein(g, w) <= 2)), F.lit(0))
@@ -170,7 +184,7 @@ def _initials(name: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(compared(name), " "), lambda w: ~w.isin(*JOINING)), lambda w: F.substring(w, 1, 1)), "")
 
 
-def _general_fit(given: Column, forms: Column, initials: Column) -> Column:  # noqa: ARG001
+def _general_fit(given: Column, full: Column, forms: Column, initials: Column) -> Column:  # noqa: ARG001
     told = lambda text: F.filter(F.split(text, " "), lambda w: F.length(w) > 0)
     mine = told(given)
     part = lambda f: F.forall(mine, lambda m: F.exists(told(f), lambda t: t.startswith(m)))
@@ -184,20 +198,21 @@ def resolved_names(refs: DataFrame, authority: DataFrame) -> DataFrame:
     typed = lambda f: F.struct(F.lit(f"{f}1sur").alias("fieldname"), F.col(f"{f}1sur").alias("sur"), F.col(f"{f}1init").alias("init"), F.col(f"{f}1first").alias("first"))
     rows = refs.select("refid", F.explode(F.array(typed("a"), typed("e"))).alias("t")).select("refid", "t.*")
     rows = cut(rows.where("sur is not null").withColumn("rec", F.xxhash64("sur", F.coalesce("init", F.lit("\0")), F.coalesce("first", F.lit("\0")))))
-    records = rows.groupBy("rec").agg(F.first("sur").alias("sur"), F.first("init").alias("init"), F.first("first").alias("first")).where(~compared(F.col("sur")).isin(*NO_NAME))
-    read = records.select("rec", F.explode(readings(F.col("sur"), F.col("init"), F.col("first"))).alias("r")).select("rec", "r.spelling", "r.given")
+    records = rows.groupBy("rec").agg(F.first("sur").alias("sur"), F.first("init").alias("init"), F.first("first").alias("first"))
+    records = cut(records.select("rec", *prepared(F.col("sur"), F.col("init"), F.col("first")), compared(F.col("sur")).isin(*NO_NAME).alias("none"))).where("not none")
+    read = with_full(records.select("rec", F.explode(readings(F.col("text"), F.col("own"))).alias("r")).select("rec", "r.spelling", "r.given"))
     people = rows.select("refid", "fieldname", "rec").join(resolve(persons(authority), read, _given_fit), "rec").select("refid", "fieldname", "nameid")
 
     general, places = _publisher_words(authority)
     firms = authority.where("kind = 'publisher' and orgname is not null")
-    reading = lambda c: publisher_reading(c, general, places)
-    own = firms.select("nameid", reading(F.col("orgname")).alias("r")).select("nameid", "r.spelling", "r.given")
+    own = firms.select("nameid", publisher_text(F.col("orgname"), places).alias("text")).select("nameid", publisher_reading(F.col("text"), general).alias("r")).select("nameid", "r.spelling", "r.given")
     # Firms are also known by their initials, and partnerships by the first partner.
     partners = firms.where("orgname like '%&%'").select("nameid", F.substring_index(compared(F.col("orgname")), " ", 1), F.lit(""))
     profiles = own.union(firms.select("nameid", _initials(F.col("orgname")), F.lit(""))).union(partners)
     names = refs.select("refid", "publisher1").where("publisher1 is not null")
-    capitals = F.struct(compared(F.col("publisher1")).alias("spelling"), F.lit("").alias("given"))
-    ways = F.array_compact(F.array(reading(F.col("publisher1")), F.when(F.trim("publisher1").rlike(r"^\p{Lu}{3,6}$"), capitals)))
-    read = names.select("publisher1").distinct().select(F.col("publisher1").alias("rec"), F.explode(ways).alias("r")).select("rec", "r.spelling", "r.given")
+    capitals = F.struct(F.lower(F.trim("rec")).alias("spelling"), F.lit("").alias("given"))
+    spelt = cut(names.select(F.col("publisher1").alias("rec")).distinct().withColumn("text", publisher_text(F.col("rec"), places)))
+    ways = F.array_compact(F.array(publisher_reading(F.col("text"), general), F.when(F.trim("rec").rlike(r"^\p{Lu}{3,6}$"), capitals)))
+    read = spelt.select("rec", F.explode(ways).alias("r")).select("rec", "r.spelling", "r.given", F.col("r.given").alias("full"))
     houses = names.withColumnRenamed("publisher1", "rec").join(resolve(profiles, read, _general_fit), "rec").select("refid", F.lit("publisher1").alias("fieldname"), "nameid")
     return people.union(houses)
