@@ -21,6 +21,7 @@ is its count (``weighted``) or 1.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refweave.sources.tables import parallelism
+
 REGISTERS, BANDS = 80, 20
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -150,41 +153,57 @@ def _banded(features: str, n: int, weighted: bool, registers: int, bands: int):
     return run
 
 
-def _sets(features: str, n: int, weighted: bool):
-    """A function text -> (features, total) for the exact check."""
-    if features == "chars":
-        cut = lambda t: [t[i : i + n] for i in range(len(t) - n + 1)]
-    else:
-        cut = lambda t: (lambda w: [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else [])(t.split())
-    if not weighted:
-        return lambda t: frozenset(cut(t))
-    from collections import Counter
+MATRIX_BYTES = 32_000_000
 
-    return lambda t: Counter(cut(t))
 
+def _jaccard(extract, texts_a: list[str], texts_b: list[str]) -> np.ndarray:
+    """Exact Jaccard similarity of the feature sets of each pair, from one row of bits per text."""
+    number: dict[str, int] = {}
+    a = np.fromiter((number.setdefault(t, len(number)) for t in texts_a), np.int64, len(texts_a))
+    b = np.fromiter((number.setdefault(t, len(number)) for t in texts_b), np.int64, len(texts_b))
+    doc, feature = extract(list(number))
+    code, known = pd.factorize(feature)
+    words = len(known) // 64 + 1
+    if 8 * len(number) * words > MATRIX_BYTES and len(texts_a) > 1:
+        half = len(texts_a) // 2
+        return np.concatenate((_jaccard(extract, texts_a[:half], texts_b[:half]), _jaccard(extract, texts_a[half:], texts_b[half:])))
+    bits = np.zeros(len(number) * words, np.uint64)
+    np.bitwise_or.at(bits, doc * words + (code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    bits = bits.reshape(len(number), words)
+    sizes = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    shared = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+    return shared / np.maximum(1, sizes[a] + sizes[b] - shared)
 
-def _verified(features: str, n: int, weighted: bool, threshold: float):
-    make = _sets(features, n, weighted)
 
-    def similarity(x, y) -> float:
-        if weighted:
-            shared = sum(min(k, y[f]) for f, k in x.items() if f in y)
-            return shared / max(1, sum(x.values()) + sum(y.values()) - shared)
-        shared = len(x & y)
-        return shared / max(1, len(x) + len(y) - shared)
+def _weighted_jaccard(cut, texts_a: list[str], texts_b: list[str]) -> np.ndarray:
+    known: dict[str, Counter] = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            known: dict = {}
+    def of(text: str) -> Counter:
+        if (got := known.get(text)) is None:
+            got = known[text] = Counter(cut(text))
+        return got
+
+    def similarity(x: Counter, y: Counter) -> float:
+        shared = sum(min(k, y[f]) for f, k in x.items() if f in y)
+        return shared / max(1, x.total() + y.total() - shared)
 
-            def of(text: str):
-                if (got := known.get(text)) is None:
-                    got = known[text] = make(text)
-                return got
+    return np.fromiter((similarity(of(x), of(y)) for x, y in zip(texts_a, texts_b, strict=True)), np.float64, len(texts_a))
 
-            sims = np.fromiter((similarity(of(a), of(b)) for a, b in zip(part["text_a"], part["text_b"], strict=True)), np.float64, len(part))
-            keep = sims >= threshold - 1e-12
-            yield pd.DataFrame({"a": part["a"].to_numpy()[keep], "b": part["b"].to_numpy()[keep], "similarity": sims[keep]})
+
+def _verified(features: str, n: int, weighted: bool, threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for start in range(0, len(whole), 2500):
+                part = whole.iloc[start : start + 2500]
+                texts = part["text_a"].tolist(), part["text_b"].tolist()
+                if not weighted:
+                    sims = _jaccard(lambda t: (char_features if features == "chars" else word_features)(t, n), *texts)
+                elif features == "chars":
+                    sims = _weighted_jaccard(lambda t: [t[i : i + n] for i in range(len(t) - n + 1)], *texts)
+                else:
+                    sims = _weighted_jaccard(lambda t: (lambda w: [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else [])(t.split()), *texts)
+                keep = sims >= threshold - 1e-12
+                yield pd.DataFrame({"a": part["a"].to_numpy()[keep], "b": part["b"].to_numpy()[keep], "similarity": sims[keep]})
 
     return run
 
@@ -200,15 +219,17 @@ def similar_pairs(texts: DataFrame, features: str = "chars", n: int = 3, thresho
     texts: (id bigint, text string), each text once.
     """
     banded = texts.mapInPandas(_banded(features, n, weighted, registers, bands), "band long, id long, low long, high long")
-    # Registers that agree in two bits: certain for an equal register, one in four for another. 3.5 standard deviations of leeway.
+    # Registers that agree in two bits: certain for an equal register, one in four for another. 3 standard deviations of leeway.
     m = min(64, registers)
     expected = threshold + (1 - threshold) / 4
-    least = int(m * expected - 3.5 * (m * expected * (1 - expected)) ** 0.5)
+    least = int(m * expected - 3 * (m * expected * (1 - expected)) ** 0.5)
     agree = m - F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low")).bitwiseOR(F.col("x.high").bitwiseXOR(F.col("y.high"))))
     pairs = (
         banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (agree >= least))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
+    # By a alone: the partitioning serves both the removal of repeats and the next join.
+    pairs = pairs.repartition(parallelism(texts), "a").distinct()
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verified(features, n, weighted, threshold), "a long, b long, similarity double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.llm import bagminhash, lowdiam, mixing, names, repetition, retrieve, survivor, tokens, unify, windows
-from refweave.sources.tables import cut, table
+from refweave.sources.tables import cut, drop, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,14 +44,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reference_texts(spark: SparkSession, sf_dir: str, least: int) -> tuple[DataFrame, DataFrame]:
     """(refid, text) in normal form, and each text once under its smallest refid."""
     whole = unify.consistent(F.coalesce("refstring", "title"))
-    rows = table(spark, sf_dir, "refmetas").select("refid", bagminhash.normal_text(whole).alias("text")).where(F.length("text") >= least)
-    rows = cut(rows)
+    rows = cut(unify.once(table(spark, sf_dir, "refmetas"), ["refid"], text=bagminhash.normal_text(whole)).where(F.length("text") >= least))
     return rows, cut(rows.groupBy("text").agg(F.min("refid").alias("id")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, texts = _reference_texts(spark, sf_dir, 3)
     members = cut(rows.join(texts, "text").select("refid", "id"))
+    drop(rows)
     pairs = bagminhash.similar_pairs(texts.select("id", "text")).select("a", "b")
     x = members.select(F.col("refid").alias("x"), F.col("id").alias("a"))
     y = members.select(F.col("refid").alias("y"), F.col("id").alias("b"))
@@ -110,5 +110,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+SQL = {
+    # Labels and unlabelled representations as nodes; every label is linked to the smallest label of each of its representations.
+    "p6_found": """
+        with recursive least as (select repidindex as r, min(label) as m from components where label is not null group by 1),
+        reps as (select repidindex as r from components union select repidindex_a from repmatches where repidindex_a is not null union select repidindex_b from repmatches where repidindex_b is not null),
+        node as (select reps.r, coalesce(m, -1 - reps.r) as n from reps left join least using (r)),
+        edge as (select label as a, m as b from components join least on r = repidindex where label is not null
+            union select x.n, y.n from repmatches join node x on x.r = repidindex_a join node y on y.r = repidindex_b where verdict = 1),
+        link as (select a, b from edge union select b, a from edge union select n, n from node),
+        walk as (select a as n, b as seen from link union select walk.n, link.b from walk join link on link.a = walk.seen),
+        found as (select n, min(seen) filter (seen >= 0) as groupid from walk group by n)
+        select r as repidindex, groupid from node join found using (n)
+    """,
+    "p10_found": """
+        with w as (select doc_id, regexp_extract_all(lower(text), '\\p{L}+') as ws from documents where text is not null),
+        g as (select doc_id, i, ws[i:i + 7] as gram from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w)),
+        again as (select doc_id, i from g qualify i > min(i) over (partition by doc_id, gram)),
+        hit as (select distinct doc_id, unnest(range(i, i + 8)) as k from again),
+        n as (select doc_id, count(*) as hits from hit group by doc_id)
+        select doc_id from n join w using (doc_id) where hits >= 0.3 * len(ws)
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
