@@ -115,10 +115,11 @@ def resolve(profiles: DataFrame, records: DataFrame, fit) -> DataFrame:
     records = cut(records.where("spelling is not null and length(spelling) > 1"))
     blocks = cut(records.withColumn("block", F.explode(_deletions(F.col("spelling")))).select("block", "rec", "spelling", "given", "full"))
     evidence = cut(profiles.select("nameid", "spelling", "given").distinct())
-    fresh, resolved = evidence, None
+    resolved = None
     for _ in range(ROUNDS):
         forms = evidence.groupBy("nameid").agg(F.collect_set(F.when(F.length("given") > 1, F.col("given"))).alias("forms"), F.collect_set(F.substring("given", 1, 1)).alias("initials"))
-        spelt = fresh.select("nameid", F.col("spelling").alias("known")).distinct()
+        # Open records meet all profiles, as one that two fit must see both.
+        spelt = evidence.select("nameid", F.col("spelling").alias("known")).distinct()
         open_blocks = blocks if resolved is None else blocks.join(resolved, "rec", "left_anti")
         met = open_blocks.join(spelt.withColumn("block", F.explode(_deletions(F.col("known")))), "block")
         met = met.groupBy("rec", "spelling", "given", "full", "nameid").agg(F.min(F.levenshtein("spelling", "known")).alias("away"))
@@ -134,12 +135,11 @@ def resolve(profiles: DataFrame, records: DataFrame, fit) -> DataFrame:
             break
         resolved = merged.select("rec", "nameid") if resolved is None else cut(resolved.union(merged.select("rec", "nameid")))
         gained = merged.select("nameid", "spelling", "given").distinct()
-        # Profiles with anything new re-enter blocking with all their spellings: a new initial may admit a record that was turned away.
         richer = cut(gained.join(evidence, ["nameid", "spelling", "given"], "left_anti"))
         if richer.isEmpty():
             break
+        # With anything new profiles re-enter blocking: a new spelling or initial may admit a record that was turned away.
         evidence = cut(evidence.union(richer))
-        fresh = evidence.join(richer.select("nameid").distinct(), "nameid", "left_semi")
     return resolved if resolved is not None else records.limit(0).select("rec", F.lit(None).cast("long").alias("nameid"))
 
 
