@@ -154,6 +154,16 @@ def consistent(value: Column) -> Column:
     return F.when(suspect(value), rewritten(value)).otherwise(value)
 
 
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and new ones that are worked out once per row.
+
+    They are made inside a generator, past which no filter is pushed: a filter
+    on them doesn't repeat the work.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return df.select(*keep, made).select(*keep, *[F.col(f"_made.{n}").alias(n) for n in columns])
+
+
 def field_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row (key, fieldname, value, plain) for every non-null value of the fields.
 
