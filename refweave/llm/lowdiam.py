@@ -19,24 +19,27 @@ from pyspark.sql import functions as F
 
 from refweave.sources.tables import cut, drop
 
-BETA, HOPS = 0.1, 3
+BETA, HOPS = 0.15, 4
 
 
 def _decomposed(edges: DataFrame, level: int, seed: int) -> DataFrame:
     """(node, center) for symmetric edges (a, b): the cluster that reaches each node first."""
     uniform = (F.shiftrightunsigned(F.xxhash64("node", F.lit(seed + level)), 11) + F.lit(0.5)) / F.lit(2.0**53)
-    reach = cut(edges.select(F.col("a").alias("node")).distinct().withColumn("reach", F.struct((F.log(uniform) / BETA).alias("at"), F.col("node").alias("center"))))
+    start = F.struct((F.log(uniform) / BETA).alias("at"), F.col("node").alias("center"))
+    reach = edges.select(F.col("a").alias("node")).distinct().select("node", start.alias("reach"))
+    held = None
     while True:
-        # Some hops to a checkpoint: a job costs more than a hop of a small frontier.
-        now = reach
+        # Some hops to a written table: a job costs more than a hop of a small frontier. What a node held before goes along,
+        # so that the end shows without a join.
+        now = reach.select("node", "reach", F.col("reach").alias("before"))
         for _ in range(HOPS):
-            heard = edges.join(now, edges["b"] == now["node"]).select(F.col("a").alias("node"), F.struct((F.col("reach.at") + 1).alias("at"), F.col("reach.center").alias("center")).alias("reach"))
-            now = now.select("node", "reach").union(heard).groupBy("node").agg(F.min("reach").alias("reach"))
-        now = cut(now)
-        changed = now.alias("n").join(reach.alias("r"), "node").where("n.reach <> r.reach").limit(1).count()
-        drop(reach)
-        reach = now
-        if not changed:
+            heard = edges.join(now.select("node", "reach"), edges["b"] == now["node"]).select(F.col("a").alias("node"), F.struct((F.col("reach.at") + 1).alias("at"), F.col("reach.center").alias("center")).alias("reach"), F.lit(None).cast("struct<at:double,center:bigint>").alias("before"))
+            now = now.select("node", "reach", "before").union(heard).groupBy("node").agg(F.min("reach").alias("reach"), F.max("before").alias("before"))
+        now = cut(now.select("node", "reach", (F.col("reach") != F.col("before")).alias("changed")))
+        if held is not None:
+            drop(held)
+        held, reach = now, now.select("node", "reach")
+        if now.where("changed").isEmpty():
             return reach.select("node", F.col("reach.center").alias("center"))
 
 
@@ -49,7 +52,7 @@ def components(edges: DataFrame, seed: int = 17) -> DataFrame:
     members = None
     level = 0
     while not graph.isEmpty():
-        clusters = cut(_decomposed(graph, level, seed))
+        clusters = _decomposed(graph, level, seed)
         members = clusters.select("node", F.col("center").alias("component")) if members is None else cut(
             members.join(clusters.select(F.col("node").alias("component"), "center"), "component", "left").select("node", F.coalesce("center", "component").alias("component"))
         )
