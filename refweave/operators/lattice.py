@@ -1,4 +1,4 @@
-"""Generalisation of feature bundles, and agglomeration on small lattices."""
+"""Generalisation of feature bundles, and agglomeration on lattices."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refweave.sources.tables import cut
-
-MAX_NODES = 2000  # nodes of one lattice component; larger ones must be split by a tighter blocking first
+from refweave.operators.graph import components
+from refweave.sources.tables import cut, drop
 
 
 def parse_rules(text: str) -> dict[tuple[tuple[str, int], ...], list[dict[str, int]]]:
@@ -69,41 +68,43 @@ def level_of_generalization(edges: DataFrame, starts: DataFrame, max_level: int
     return reached
 
 
-def _merge_component(nodes: pd.DataFrame, edges: pd.DataFrame, stop: float, discount: float) -> pd.DataFrame:
-    """Merge ends of edges whose weight, carried count of the special over that of the general set, exceeds a falling threshold."""
-    if len(nodes) > MAX_NODES:
-        raise ValueError(f"a lattice of {len(nodes)} nodes; split it by a tighter blocking")
-    obs = dict(zip(nodes["rep"], nodes["obs"].astype(float), strict=True))
-    size = dict(zip(nodes["rep"], nodes["size"], strict=True))
-    group = {r: r for r in obs}
-    links = sorted(set(zip(edges["sub"], edges["sup"], strict=True)))
-    threshold = 1.0
-    while threshold > stop + 1e-9:
-        threshold = round(threshold - 0.01, 2)
-        above: dict[str, set[str]] = {g: {g} for g in set(group.values())}
-        for sub, sup in links:
-            if group[sub] != group[sup]:
-                above[group[sub]].add(group[sup])
-        car = {g: sum(obs[x] for x in reach) for g, reach in above.items()}
-        for sub, sup in links:
-            a, b = group[sub], group[sup]
-            if a != b and car[a] and car[b] / car[a] > threshold:
-                keep, gone = (a, b) if (size[a], b) > (size[b], a) else (b, a)
-                for r, g in group.items():
-                    if g == gone:
-                        group[r] = keep
-                obs[keep] += obs[gone] * (1 - discount)
-                car[keep] = car.get(keep, 0) + obs[gone]
-    return pd.DataFrame({"rep": list(group), "merged": list(group.values())})
-
-
 def agglomerated(nodes: DataFrame, edges: DataFrame, stop: float = 0.5, discount: float = 0.0) -> DataFrame:
-    """(rep, merged): nodes (component, rep, obs, size) merged along edges (component, sub, sup), one lattice at a time."""
+    """(rep, merged): nodes (rep, obs, size) merged along edges (sub, sup) whose weight exceeds a falling threshold.
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _merge_component(left, right, stop, discount) if len(left) else pd.DataFrame(columns=["rep", "merged"])
-
-    return nodes.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(run, "rep string, merged string")
+    The weight is the count of the special over that of the general set, each with the counts of the sets right above
+    it. In a round the ends of all edges above the threshold are merged at once, component by component, into the
+    largest set, the smaller id on a tie; levels that no edge exceeds are passed over. Every round is a few joins over
+    all lattices together, so that none is too large.
+    """
+    nodes, edges = cut(nodes.select("rep", F.col("obs").cast("double").alias("obs"), "size")), cut(edges.select("sub", "sup").distinct())
+    merged = cut(nodes.select("rep", F.col("rep").alias("merged")))
+    level, last = 99, round(stop * 100)
+    while level >= last:
+        over = edges.join(nodes.select(F.col("rep").alias("sup"), "obs"), "sup").groupBy(F.col("sub").alias("rep")).agg(F.sum("obs").alias("over"))
+        car = nodes.join(over, "rep", "left").select("rep", (F.col("obs") + F.coalesce("over", F.lit(0.0))).alias("car"))
+        both = edges.join(car.select(F.col("rep").alias("sub"), F.col("car").alias("below")), "sub").join(car.select(F.col("rep").alias("sup"), F.col("car").alias("above")), "sup")
+        weighted = cut(both.where("below > 0").select("sub", "sup", (F.col("above") / F.col("below")).alias("weight")))
+        top = weighted.agg(F.max("weight")).first()[0]
+        while level >= last and not (top is not None and top > level / 100):
+            level -= 1
+        if level < last:
+            drop(weighted)
+            break
+        groups = components(weighted.where(F.col("weight") > level / 100).select(F.col("sub").alias("a"), F.col("sup").alias("b")))
+        known = groups.join(nodes, groups["node"] == nodes["rep"]).select("rep", "component", "size")
+        best = known.groupBy("component").agg(F.min(F.struct((-F.col("size")).alias("s"), "rep"))["rep"].alias("keep"))
+        moved = cut(known.join(best, "component").select("rep", "keep"))
+        to = lambda old, name: moved.select(F.col("rep").alias(old), F.col("keep").alias(name))  # noqa: E731, B023
+        at = nodes.join(moved, "rep", "left").withColumn("keep", F.coalesce("keep", "rep"))
+        own = F.col("keep") == F.col("rep")
+        kept = cut(at.groupBy(F.col("keep").alias("rep")).agg(F.sum(F.when(own, F.col("obs")).otherwise(F.col("obs") * (1 - discount))).alias("obs"), F.max(F.when(own, F.col("size"))).alias("size")))
+        ends = edges.join(to("sub", "x"), "sub", "left").join(to("sup", "y"), "sup", "left").select(F.coalesce("x", "sub").alias("sub"), F.coalesce("y", "sup").alias("sup"))
+        joined, now = cut(ends.where("sub <> sup").distinct()), cut(merged.join(to("merged", "keep"), "merged", "left").select("rep", F.coalesce("keep", "merged").alias("merged")))
+        for done in (nodes, edges, merged, weighted, moved):
+            drop(done)
+        nodes, edges, merged = kept, joined, now
+        level -= 1
+    return merged
 
 
 def licensed(features: Column, needs: dict[str, list[str]], bars: dict[str, list[str]]) -> Column:

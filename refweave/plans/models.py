@@ -114,18 +114,10 @@ def gr17_reduction(spark, sf_dir):
 
 
 def gr22_agglomerated(spark, sf_dir):
-    """Sets merged along the covers of their lattice; how many each representative stands for.
-
-    A lattice is one block of the poset; blocks of more than MAX_NODES sets stay unmerged.
-    """
+    """Sets merged along the covers of their lattice; how many each representative stands for."""
     features = cut(_rep_features(spark, sf_dir))
-    pairs = cut(G.contained(features))
-    blocks = cut(G.poset_blocks(features, pairs))
-    small = blocks.groupBy("block").count().where(F.col("count") <= A.MAX_NODES).select("block")
-    blocks = blocks.join(small, "block")
-    nodes = blocks.join(features.groupBy("rep").agg(F.count("*").alias("size")), "rep").select(F.col("block").alias("component"), "rep", F.lit(1.0).alias("obs"), "size")
-    covers = G.hasse(pairs).join(blocks.select(F.col("rep").alias("sub"), F.col("block").alias("component")), "sub")
-    return A.agglomerated(nodes, covers.select("component", "sub", "sup")).groupBy("merged").agg(F.count("*").alias("n"))
+    nodes = features.groupBy("rep").agg(F.lit(1.0).alias("obs"), F.count("*").alias("size"))
+    return A.agglomerated(nodes, G.hasse(cut(G.contained(features)))).groupBy("merged").agg(F.count("*").alias("n"))
 
 
 def gr25_generalization_levels(spark, sf_dir):
