@@ -55,16 +55,28 @@ def deletions(word: Column, far: int) -> Column:
     return F.array_distinct(F.concat(forms, F.flatten(F.transform(once(word), once))) if far > 1 else forms)
 
 
-def corrected(words: DataFrame, vocabulary: DataFrame, ratio: float = 0.2, most: int = 2) -> DataFrame:
+def corrected(words: DataFrame, vocabulary: DataFrame, ratio: float = 0.2, most: int = 4) -> DataFrame:
     """(word, correction): the closest, then most frequent vocabulary term within min(most, ratio * length) edits, else the word.
 
-    words: (word); vocabulary: (term, freq). Candidates meet on forms with characters left out.
+    words: (word); vocabulary: (term, freq). For up to two edits candidates meet on forms with characters left out. For
+    k > 2 a word is cut into k + 1 pieces, one of which no edit touches: it stands in the term, at most k places off.
     """
-    words = cut(words.select("word").distinct())
-    allowed = F.least(F.lit(most), F.floor(F.length("word") * ratio))
-    left = words.where(allowed >= 1).withColumn("form", F.explode(deletions(F.col("word"), most)))
-    right = vocabulary.withColumn("form", F.explode(deletions(F.col("term"), most)))
-    met = left.join(right, "form").select("word", "term", "freq").distinct().withColumn("away", F.levenshtein("word", "term")).where(F.col("away") <= allowed)
+    words = cut(words.select("word").distinct().withColumn("allowed", F.least(F.lit(most), F.floor(F.length("word") * ratio)).cast("int")))
+    near = min(most, 2)
+    left = words.where((F.col("allowed") >= 1) & (F.col("allowed") <= near)).withColumn("form", F.explode(deletions(F.col("word"), near)))
+    right = vocabulary.withColumn("form", F.explode(deletions(F.col("term"), near)))
+    met = left.join(right, "form").select("word", "allowed", "term", "freq")
+    if most > 2:
+        # The shortest word with three edits has the shortest pieces; six letters are enough to look up.
+        least, longest = max(1, min(6, int(3 / ratio) // 4)), 6
+        size = F.least(F.lit(longest), F.greatest(F.lit(1), F.floor(F.length("word") / (F.col("allowed") + 1)))).cast("int")
+        at = words.where("allowed > 2").withColumn("size", size).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("allowed"))))
+        pieces = at.withColumn("x", (F.col("i") * F.floor(F.length("word") / (F.col("allowed") + 1)) + 1).cast("int")).withColumn("form", F.substring("word", F.col("x"), F.col("size")))
+        long = vocabulary.where(F.length("term") >= least).withColumn("size", F.explode(F.sequence(F.lit(least), F.least(F.lit(longest), F.length("term")))))
+        parts = long.withColumn("y", F.explode(F.sequence(F.lit(1), F.length("term") - F.col("size") + 1))).withColumn("form", F.substring("term", F.col("y"), F.col("size"))).drop("size")
+        fits = (F.abs(F.col("x") - F.col("y")) <= F.col("allowed")) & (F.abs(F.length("word") - F.length("term")) <= F.col("allowed"))
+        met = met.union(pieces.join(parts, "form").where(fits).select("word", "allowed", "term", "freq"))
+    met = met.distinct().withColumn("away", F.levenshtein("word", "term")).where(F.col("away") <= F.col("allowed"))
     best = met.groupBy("word").agg(F.min_by("term", F.struct("away", (-F.col("freq")).alias("f"), "term")).alias("term"))
     return words.join(best, "word", "left").select("word", F.coalesce("term", "word").alias("correction"))
 
