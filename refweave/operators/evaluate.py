@@ -51,6 +51,28 @@ def capped_counts(df: DataFrame, label_sizes: DataFrame, max_label: int, max_gol
     return pair_counts(rows)
 
 
+def minimal_recall(rows: DataFrame, under: DataFrame) -> DataFrame:
+    """One row (tp, t, p, micro_recall, macro_recall, micro_precision) of blocking by minimal elements.
+
+    rows: (gold, rep, freq); under: (rep, minel), a minimal set under itself. Two mentions meet where their sets share a
+    minimal set. Pairs that share several are counted once by inclusion and exclusion over the combinations of a set's
+    minimal sets, which are few as it has few features; no pair is formed. Values without a pair are null.
+    """
+    freqs = rows.where("gold is not null and rep is not null").groupBy("gold", "rep").agg(F.sum("freq").alias("freq"))
+    minels = under.groupBy("rep").agg(F.array_sort(F.collect_set("minel")).alias("minels"))
+    freqs = cut(freqs.join(minels, "rep").groupBy("gold", "minels").agg(F.sum("freq").alias("freq")))
+    number = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("minels")) - 1).cast("int"))
+    chosen = lambda mask: F.filter("minels", lambda _, i: F.floor(mask / F.pow(F.lit(2), i)) % 2 == 1)
+    parts = freqs.select("gold", "freq", F.explode(F.transform(number, chosen)).alias("part"))
+    sign = F.when(F.size("part") % 2 == 1, 1.0).otherwise(-1.0)
+    met = lambda *keys: parts.groupBy(*keys, "part").agg(F.sum("freq").alias("n")).withColumn("n", sign * F.col("n") * F.col("n"))
+    per = freqs.groupBy("gold").agg((F.sum("freq") * F.sum("freq")).alias("t")).join(met("gold").groupBy("gold").agg(F.sum("n").alias("tp")), "gold")
+    recall = F.when(F.col("t") > 0, F.col("tp") / F.col("t")).otherwise(0.0)
+    found = per.agg(F.sum("tp").alias("tp"), F.sum("t").alias("t"), F.avg(recall).alias("macro_recall")).crossJoin(met().agg(F.sum("n").alias("p")))
+    share = lambda whole: F.col("tp") / F.nullif(F.col(whole), F.lit(0))
+    return found.select("tp", "t", "p", share("t").alias("micro_recall"), "macro_recall", share("p").alias("micro_precision"))
+
+
 def truncated_percent(part: Column, whole: Column) -> Column:
     """100 part / whole cut, not rounded, after two digits."""
     return F.floor(10000 * part / F.nullif(whole, F.lit(0))) / 100

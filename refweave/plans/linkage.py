@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refweave.functions import text as T
@@ -183,12 +183,21 @@ def ag24_merged_references(spark, sf_dir):
 # --- sets, orders and components ---
 
 
+def _rep_tags() -> Column:
+    """Author, year and source of a row of refmetas, as tagged features."""
+    parts = {"a": T.author_norm(F.col("a1sur")), "y": F.col("year").cast("string"), "s": F.lower("source")}
+    return F.array_compact(F.array(*[F.when(c.isNotNull(), F.concat(F.lit(f"{t}:"), c)) for t, c in parts.items()]))
+
+
+def _rep() -> Column:
+    """The id of a row's set of features."""
+    return F.sha1(F.array_join(_rep_tags(), "|"))
+
+
 def _rep_features(spark, sf_dir) -> DataFrame:
     """(rep, f): author, year and source of every distinct combination of them."""
-    refs = _t(spark, sf_dir, "refmetas").select(T.author_norm(F.col("a1sur")).alias("a"), F.col("year").cast("string").alias("y"), F.lower("source").alias("s")).distinct()
-    tag = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c)))
-    fs = F.array_compact(F.array(tag("a"), tag("y"), tag("s")))
-    return refs.select(F.sha1(F.array_join(fs, "|")).alias("rep"), F.explode(fs).alias("f")).distinct()
+    fs = _t(spark, sf_dir, "refmetas").select(_rep_tags().alias("fs")).distinct()
+    return fs.select(F.sha1(F.array_join("fs", "|")).alias("rep"), F.explode("fs").alias("f")).distinct()
 
 
 def jn7_containment(spark, sf_dir):

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from refweave.operators import evaluate as E
 from refweave.operators import graph as G
-from refweave.plans.linkage import _REPF, _features, _grouped, _rep_features, _sql_features
+from refweave.plans.linkage import _REPF, _features, _grouped, _rep, _rep_features, _sql_features
 from refweave.plans.scalars import TARGETS
 from refweave.sources import files as S
 from refweave.sources.tables import cut, table
@@ -87,6 +88,20 @@ def ag12_minimal_recall(spark, sf_dir):
     return per.groupBy("n").agg(F.count("*").alias("minels"), F.sum(F.col("n") * F.col("n")).alias("pairs"))
 
 
+def ag12_gold_recall(spark, sf_dir):
+    """Recall and precision of blocking by minimal sets against the mentions' gold ids, weighted by frequency.
+
+    A mention has the set of its reference, as first delivered; one without gold id, reference or features takes no part.
+    """
+    features = cut(_rep_features(spark, sf_dir))
+    pairs = cut(G.contained(features))
+    least = cut(G.minimal(features, pairs))
+    under = pairs.join(least.withColumnRenamed("rep", "sub"), "sub").select(F.col("sup").alias("rep"), F.col("sub").alias("minel")).union(least.select("rep", F.col("rep").alias("minel")))
+    first = table(spark, sf_dir, "refmetas").groupBy(F.col("linkid").alias("originalid")).agg(F.min_by(F.struct(_rep().alias("rep")), F.struct("loaded_at", "refid")).alias("f"))
+    mentions = table(spark, sf_dir, "mentions").select("mentionid", "originalid", F.col("goldid").alias("gold"), "freq").distinct()
+    return E.minimal_recall(mentions.join(first, "originalid").select("gold", "f.rep", "freq"), under)
+
+
 def ag21_signatures(spark, sf_dir):
     """Signatures of filled fields: distinct combinations of values (types) and rows (tokens) of each."""
     names = ["title", "year", "a1sur", "source"]
