@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refweave.sources.tables import parallelism
+from refweave.sources.tables import cut, parallelism
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,8 @@ def key_counts(df: DataFrame, key: Column, item: Column, partitions: int | None
     pairs = df.select(key.alias("key"), item.alias("item")).where("key is not null")
     k, i = (pairs.schema[c].dataType.simpleString() for c in ("key", "item"))
     ranged = pairs.repartitionByRange(partitions or parallelism(df), "key", "item").sortWithinPartitions("key", "item")
-    states = ranged.mapInArrow(_runs, f"key {k}, rows long, items long, first_item {i}, last_item {i}, part int, edge boolean")
+    # A table, as two branches read it: sampled again, the range bounds of one could differ from those of the other.
+    states = cut(ranged.mapInArrow(_runs, f"key {k}, rows long, items long, first_item {i}, last_item {i}, part int, edge boolean"))
     by_part = Window.partitionBy("key").orderBy("part")
     meets = F.coalesce(F.lag("last_item").over(by_part) == F.col("first_item"), F.lit(False)).cast("long")
     # An inner key is whole: the partial sums below combine before the exchange and meet no other state of that key.

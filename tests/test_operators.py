@@ -125,6 +125,19 @@ def test_key_counts_with_a_hot_key(spark, partitions):
     assert {r.key for r in heavy_keys(df, F.col("k"), F.col("i"), 0.9).collect()} <= {"hot"} | set(want)
 
 
+def test_key_counts_without_reuse_of_exchanges(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = [("hot", i % 700) for i in range(2000)] + [(f"k{i % 150}", i % 11) for i in range(2000)]
+        got = {r.key: (r.rows, r["items"]) for r in key_counts(spark.createDataFrame(rows, "key string, item long"), F.col("key"), F.col("item"), 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = {}
+    for k, i in rows:
+        want.setdefault(k, []).append(i)
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+
+
 def test_key_counts_of_nothing(spark):
     df = spark.createDataFrame([], "k string, i bigint")
     assert key_counts(df, F.col("k"), F.col("i"), 3).collect() == []
