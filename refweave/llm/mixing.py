@@ -22,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refweave.sources.tables import cut, parallelism
+from refweave.sources.tables import cut, drop, parallelism
 
 
 def ranked(sizes: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Adds ``rank``, from 0, along the order within ``by``, however many rows one value holds."""
     ranged = cut(sizes.repartitionByRange(parallelism(sizes), by, *order).withColumn("piece", F.spark_partition_id()))
+    drop(sizes)
     pieces = ranged.groupBy(by, "piece").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = pieces.select(by, "piece", before.alias("before"))
@@ -37,7 +38,8 @@ def ranked(sizes: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 def mixed(sizes: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     """(mixname, source, doc_id, tokens, copies) for (doc_id, source, tokens) and (mixname, source, weight, maxrepeats)."""
-    own = sizes.select("doc_id", F.lower(F.trim("source")).alias("source"), "tokens").where("source is not null")
+    # A table, as the ranges are sampled from it: the sizes aren't counted again.
+    own = cut(sizes.select("doc_id", F.lower(F.trim("source")).alias("source"), "tokens").where("source is not null"))
     wanted = targets.select("mixname", F.lower(F.trim("source")).alias("source"), "weight", "maxrepeats").where("weight > 0")
     order = cut(ranked(own, "source", ["tokens", "doc_id"]))
     have = order.groupBy("source").agg(F.sum("tokens").alias("have")).where("have > 0")

@@ -9,7 +9,8 @@ document longer than the capacity gives whole containers and one rest.
 
 Defined cases: null and empty texts take no room but get a container like any
 other; a document of exactly the capacity fills one container; equal sizes keep
-the order of ids; an empty table gives no row.
+the order of ids; an empty table, or one without a container of positive
+capacity, gives no row.
 """
 
 from __future__ import annotations
@@ -55,14 +56,24 @@ def differenced(sizes: list[int], windows: int) -> list[list[int]]:
 
 
 def packed(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows none of which exceeds the capacity; no size may exceed it."""
-    windows = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
-    while True:
-        parts = differenced(sizes, windows)
-        over = sum(sum(sizes[i] for i in p) > capacity for p in parts)
-        if not over:
-            return [p for p in parts if p]
-        windows += max(1, over // 3)
+    """Windows none of which exceeds the capacity; no size may exceed it.
+
+    The window count rises in growing steps until none is exceeded, and the last step is then halved down to the least
+    count that holds.
+    """
+    fits = lambda parts: all(sum(sizes[i] for i in p) <= capacity for p in parts)
+    low = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes)) - 1
+    step, windows = 1, low + 1
+    while not fits(best := differenced(sizes, windows)):
+        low, step = windows, 2 * step
+        windows += step
+    while windows - low > 1:
+        middle = (low + windows) // 2
+        if fits(parts := differenced(sizes, middle)):
+            windows, best = middle, parts
+        else:
+            low = middle
+    return [p for p in best if p]
 
 
 def _block(group: pd.DataFrame) -> pd.DataFrame:
@@ -92,6 +103,8 @@ def fill(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("total") / (F.col("capacity") * WINDOWS)), F.ceil(F.col("docs") / BLOCK_ITEMS), F.lit(1))
     plan = containers.where("capacity > 0").crossJoin(total).select("containername", "capacity", blocks.alias("blocks"))
     kinds = plan.collect()  # one row per kind of container
+    if not kinds:
+        return sizes.sparkSession.createDataFrame([], "containername string, container long, doc_id long, part long, start long, tokens long")
     per_kind = F.explode(F.array(*[F.struct(F.lit(r.containername).alias("containername"), F.lit(r.capacity).cast("long").alias("capacity"), F.lit(r.blocks).cast("long").alias("blocks")) for r in kinds]))
     items = sizes.select("doc_id", "tokens", per_kind.alias("c")).select("doc_id", "tokens", "c.containername", "c.capacity", F.expr("pmod(xxhash64(doc_id), c.blocks)").alias("block"))
     return items.groupBy("containername", "block").applyInPandas(_block, "container long, doc_id long, part long, start long, tokens long, containername string").select("containername", "container", "doc_id", "part", "start", "tokens")

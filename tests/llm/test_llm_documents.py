@@ -76,6 +76,17 @@ def test_fill(spark):
             assert [s for s, _ in pieces] == list(np.cumsum([0] + [t for _, t in pieces])[:-1])
     empty = windows.fill(spark.createDataFrame([], "doc_id bigint, tokens bigint"), spark.createDataFrame([("s", 10)], "containername string, capacity bigint"))
     assert empty.collect() == []
+    none = windows.fill(spark.createDataFrame(sizes, "doc_id bigint, tokens bigint"), spark.createDataFrame([("s", 0)], "containername string, capacity bigint"))
+    assert none.collect() == []
+
+
+def test_packed_takes_no_window_more_than_it_must():
+    rng = random.Random(8)
+    for _ in range(20):
+        sizes = [rng.randint(1, 60) for _ in range(rng.randint(20, 150))]
+        used = len(windows.packed(sizes, 100))
+        fewer = windows.differenced(sizes, used - 1)
+        assert any(sum(sizes[i] for i in p) > 100 for p in fewer)
 
 
 def test_mixes_keep_weights_and_caps(spark):

@@ -79,6 +79,16 @@ def test_low_diameter_groups(spark, edges):
     assert all((got[x] == got[y]) == (want[x] == want[y]) for x, y in combinations(want, 2))
 
 
+@pytest.mark.parametrize("finish", [0, 10**6])
+def test_low_diameter_groups_over_many_levels(spark, finish):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(300) if i % 97] + [(rng.randrange(1000, 3000), rng.randrange(1000, 3000)) for _ in range(900)] + [(5000, i) for i in range(5001, 5400)]
+    got = {r.node: r.component for r in lowdiam.components(spark.createDataFrame(edges, "a bigint, b bigint"), finish=finish).collect()}
+    want = union_find(edges)
+    assert set(got) == set(want)
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[x], want[x]) for x in want})
+
+
 def test_groups_by_label_and_match(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 2, 0), (3, 2, 0), (9, 7, 0), (None, 8, 0), (None, 8, 0)], "label bigint, repidindex bigint, component int")
     matches = spark.createDataFrame([(8, 7, 1), (1, 7, 0), (None, 1, 1), (7, None, 1), (2, 2, 1), (20, 1, 1), (7, 1, None)], "repidindex_a bigint, repidindex_b bigint, verdict bigint")
