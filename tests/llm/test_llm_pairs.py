@@ -100,6 +100,12 @@ CATS = "catid bigint, title string, author string, year bigint, score double"
 LONG = "The quantitative strike of literacy: ethnic evidence on property and language from Wesholm"
 
 
+def test_rivals_that_fit_equally_are_not_matched(spark):
+    refs = spark.createDataFrame([(1, LONG, None, "Miller", None, 0.0), (2, LONG, 2001, "Miller", None, 0.0), (3, LONG, 2001, "Ng", "Ng_Li", 0.0)], REFS)
+    cats = spark.createDataFrame([(10, LONG, "Miller, Jane", 2001, 0.0), (11, LONG, "Miller, Jane", 2015, 0.0), (12, LONG, "Miller, Jane", 2015, 0.0)], CATS)
+    assert {(r.refid, r.catid) for r in retrieve.matches(refs, cats).collect()} == {(2, 10), (3, 10)}
+
+
 def test_matches_tell_works_apart(spark):
     refs = spark.createDataFrame(
         [
@@ -118,3 +124,40 @@ def test_matches_tell_works_apart(spark):
 def test_year_fit(spark, year, other, fit):
     df = spark.createDataFrame([(year, other)], "y bigint, c bigint")
     assert df.select(retrieve.year_fit(F.col("y"), F.col("c")).alias("x")).first().x == fit
+
+
+def test_the_fit_converges_on_kinds_that_are_far_apart():
+    rng = np.random.default_rng(5)
+    x = np.vstack((np.column_stack((np.ones(4000), np.ones(4000), rng.uniform(0.9, 1, 4000))), np.column_stack((rng.uniform(-0.3, 0, 33), np.ones(33), rng.uniform(0.5, 1, 33)))))
+    y = np.concatenate((np.ones(4000), np.zeros(33)))
+    beta = retrieve.logistic(x, y)
+    p = 1 / (1 + np.exp(-(beta[0] + x @ beta[1:])))
+    assert np.isfinite(beta).all() and np.abs(beta).max() < 100 and beta[1] > 0
+    assert (p[:4000] > 0.9).all() and (p[4000:] < 0.5).all()
+    shuffled = rng.permutation(len(x))
+    assert retrieve.logistic(x[shuffled], y[shuffled]) == pytest.approx(beta, abs=1e-4)
+
+
+def test_confidence_rises_with_the_gap(spark):
+    rng = random.Random(9)
+    rows = [(i, i, 1, True, True, 1.0, rng.uniform(0.8, 1), 1) for i in range(300)] + [(i, 1000 + i, 2, False, True, rng.uniform(-0.4, -0.1), rng.uniform(0.6, 1), 1) for i in range(40)]
+    rows += [(5000 + k, 5000, 1, True, False, gap, 0.9, 1) for k, gap in enumerate((-0.2, 0.0, 0.1, 0.5, 1.0))]
+    top = spark.createDataFrame(rows, "refid bigint, catid bigint, rank int, fits boolean, of_clear boolean, gap double, share double, mutual int")
+    got = {r.refid: r.confidence for r in retrieve.confident(top).where("refid >= 5000").collect()}
+    in_order = [got[5000 + k] for k in range(5)]
+    assert in_order == sorted(in_order) and in_order[0] < 0.5 < in_order[-1] and len(set(in_order)) == 5
+
+
+def test_title_pairs_against_brute_force(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(25)]
+    docs = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(80)]
+    asked = [" ".join(w if rng.random() < 0.85 else rng.choice(words) for w in d.split()) for d in docs]
+    runs = lambda t: {tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))}
+    n = Counter(r for d in docs for r in runs(d))
+    w = {r: np.log1p(len(docs) / (n[r] + 0.5)) for q in [*docs, *asked] for r in runs(q)}
+    mass = lambda rs: sum(w[r] for r in rs)
+    want = {(i, j) for i, q in enumerate(asked) for j, d in enumerate(docs) if mass(runs(q) & runs(d)) >= retrieve.TAU * min(mass(runs(q)), mass(runs(d))) + 1e-4}
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id bigint, title string")
+    got = {(r.a, r.b) for r in retrieve.title_pairs(frame(asked), frame(docs)).collect()}
+    assert want <= got and len(want) > 50
