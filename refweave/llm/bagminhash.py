@@ -21,7 +21,6 @@ is its count (``weighted``) or 1.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refweave.sources.tables import parallelism
+from refweave.sources.tables import cut
 
 REGISTERS, BANDS = 80, 20
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -175,19 +174,34 @@ def _jaccard(extract, texts_a: list[str], texts_b: list[str]) -> np.ndarray:
     return shared / np.maximum(1, sizes[a] + sizes[b] - shared)
 
 
-def _weighted_jaccard(cut, texts_a: list[str], texts_b: list[str]) -> np.ndarray:
-    known: dict[str, Counter] = {}
+PAIR_FEATURES = 2_000_000
 
-    def of(text: str) -> Counter:
-        if (got := known.get(text)) is None:
-            got = known[text] = Counter(cut(text))
-        return got
 
-    def similarity(x: Counter, y: Counter) -> float:
-        shared = sum(min(k, y[f]) for f, k in x.items() if f in y)
-        return shared / max(1, x.total() + y.total() - shared)
-
-    return np.fromiter((similarity(of(x), of(y)) for x, y in zip(texts_a, texts_b, strict=True)), np.float64, len(texts_a))
+def _weighted_jaccard(extract, texts_a: list[str], texts_b: list[str]) -> np.ndarray:
+    """Exact weighted Jaccard similarity of the feature multisets of each pair, by sorting both sides' features together."""
+    number: dict[str, int] = {}
+    a = np.fromiter((number.setdefault(t, len(number)) for t in texts_a), np.int64, len(texts_a))
+    b = np.fromiter((number.setdefault(t, len(number)) for t in texts_b), np.int64, len(texts_b))
+    doc, feature, count = _counted(*extract(list(number)), True)
+    code, known = pd.factorize(feature)
+    at = np.searchsorted(doc, np.arange(len(number) + 1))
+    size, total = np.diff(at), np.bincount(doc, count, minlength=len(number))
+    out = np.empty(len(a))
+    begin = 0
+    ahead = np.cumsum(size[a] + size[b])
+    while begin < len(a):
+        end = max(begin + 1, int(np.searchsorted(ahead, (ahead[begin - 1] if begin else 0) + PAIR_FEATURES, "right")))
+        sides = np.concatenate((a[begin:end], b[begin:end]))
+        pair = np.repeat(np.tile(np.arange(end - begin), 2), size[sides])
+        own = np.arange(len(pair)) - np.repeat(np.cumsum(size[sides]) - size[sides], size[sides]) + np.repeat(at[sides], size[sides])
+        key = pair * max(1, len(known)) + code[own]
+        order = np.argsort(key, kind="stable")
+        both = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        least = np.minimum(count[own[order[both]]], count[own[order[both + 1]]])
+        shared = np.bincount(pair[order[both]], least, minlength=end - begin)
+        out[begin:end] = shared / np.maximum(1, total[a[begin:end]] + total[b[begin:end]] - shared)
+        begin = end
+    return out
 
 
 def _verified(features: str, n: int, weighted: bool, threshold: float):
@@ -195,13 +209,8 @@ def _verified(features: str, n: int, weighted: bool, threshold: float):
         for whole in batches:
             for start in range(0, len(whole), 2500):
                 part = whole.iloc[start : start + 2500]
-                texts = part["text_a"].tolist(), part["text_b"].tolist()
-                if not weighted:
-                    sims = _jaccard(lambda t: (char_features if features == "chars" else word_features)(t, n), *texts)
-                elif features == "chars":
-                    sims = _weighted_jaccard(lambda t: [t[i : i + n] for i in range(len(t) - n + 1)], *texts)
-                else:
-                    sims = _weighted_jaccard(lambda t: (lambda w: [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else [])(t.split()), *texts)
+                extract = lambda t: (char_features if features == "chars" else word_features)(t, n)
+                sims = (_weighted_jaccard if weighted else _jaccard)(extract, part["text_a"].tolist(), part["text_b"].tolist())
                 keep = sims >= threshold - 1e-12
                 yield pd.DataFrame({"a": part["a"].to_numpy()[keep], "b": part["b"].to_numpy()[keep], "similarity": sims[keep]})
 
@@ -228,8 +237,8 @@ def similar_pairs(texts: DataFrame, features: str = "chars", n: int = 3, thresho
         banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (agree >= least))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
-    # By a alone: the partitioning serves both the removal of repeats and the next join.
-    pairs = pairs.repartition(parallelism(texts), "a").distinct()
+    # A table: what was shuffled for the bands is gone before any text moves.
+    pairs = cut(pairs.distinct())
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verified(features, n, weighted, threshold), "a long, b long, similarity double")
