@@ -13,7 +13,7 @@ from refweave.sources.tables import cut, drop, table
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = unify.field_values(table(spark, sf_dir, "refmetas"), "refid", ["a1sur", "refstring"])
-    return unify.canonical_values(values).where("value <> canonical and value <> plain").select(F.col("key").alias("refid"), "fieldname")
+    return unify.canonical_values(values).where("value <> canonical").select(F.col("key").alias("refid"), "fieldname")
 
 
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 ``consistent`` is a pure SQL expression that rewrites one value into the
 consistent form: no invisible characters, ordinary spaces, hyphens and widths,
 single letters for joined ones, precomposed accents, each word in the letters
-of one script. ``canonical_values`` groups the rewritten values under the
-accent-sensitive Unicode collation, takes one canonical member per class and
-joins it back to every row.
+of one script. ``canonical_values`` groups the values, with look-alikes mapped,
+under the accent-sensitive Unicode collation, for which combining and precomposed
+accents are equal and characters without a weight don't count, takes one canonical
+member per class and joins it back to every row.
 
 Defined cases: null values give no row; the empty string is its own class;
 values with nothing to rewrite come out as they are; words wholly Cyrillic or
@@ -22,6 +23,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refweave.sources.tables import cut
+
 # Characters that show nothing, spaces that are not U+0020 and
 # hyphens that are not U+002D, as Java character-class bodies.
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff"
@@ -129,7 +132,7 @@ def _composed(text: Column) -> Column:
     def compose(cluster: Column) -> Column:
         two = known(F.substring(cluster, 1, 2))
         three = F.when(F.length(cluster) > 2, _let(F.concat(two, F.substring(cluster, 3, 1)), known)).otherwise(two)
-        return F.when(cluster.rlike(_MARK), F.concat(three, F.substring(cluster, 4, 1000))).otherwise(cluster)
+        return F.when(cluster.rlike("^" + _ACCENTED), F.concat(three, F.substring(cluster, F.lit(4), F.length(cluster)))).otherwise(cluster)
 
     pieces = _pieces(text, rf"(?s)[\p{{L}}\p{{N}}]{_MARK}+|.(?:(?![\p{{L}}\p{{N}}]{_MARK}).)*", compose)
     return F.when(text.rlike(_ACCENTED), pieces).otherwise(text)
@@ -140,18 +143,25 @@ def _single_scripts(text: Column) -> Column:
     return F.when(text.rlike(_MIXED), words).otherwise(text)
 
 
+def _visible(raw: Column) -> Column:
+    """Without invisible characters, with ordinary spaces, hyphens, widths and single letters."""
+    text = F.regexp_replace(raw, f"[{INVISIBLE}]", "")
+    text = F.translate(text, SPACES + HYPHENS + _WIDE, " " * len(SPACES) + "-" * len(HYPHENS) + _WIDE.translate(_SHIFTED))
+    for sign, plain in (JOINED | _LETTER_SIGNS).items():
+        text = F.replace(text, F.lit(sign), F.lit(plain))
+    return text
+
+
 def consistent(value: Column) -> Column:
     """The value in the consistent form; null stays null."""
+    # Accents before scripts, so that a letter and its accent count as one; again after, for accents on replaced letters.
+    rewritten = _let(_let(_let(_visible(value), _composed), _single_scripts), _composed)
+    return F.when(suspect(value), rewritten).otherwise(value)
 
-    def rewritten(raw: Column) -> Column:
-        text = F.regexp_replace(raw, f"[{INVISIBLE}]", "")
-        text = F.translate(text, SPACES + HYPHENS + _WIDE, " " * len(SPACES) + "-" * len(HYPHENS) + _WIDE.translate(_SHIFTED))
-        for sign, plain in (JOINED | _LETTER_SIGNS).items():
-            text = F.replace(text, F.lit(sign), F.lit(plain))
-        # Accents before scripts, so that a letter and its accent count as one; again after, for accents on replaced letters.
-        return _let(_let(_let(text, _composed), _single_scripts), _composed)
 
-    return F.when(suspect(value), rewritten(value)).otherwise(value)
+def mapped(value: Column) -> Column:
+    """The value with look-alikes mapped and accents as they stand, which the collation tells equal."""
+    return F.when(suspect(value), _let(_visible(value), _single_scripts)).otherwise(value)
 
 
 def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -165,37 +175,45 @@ def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 
 def field_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row (key, fieldname, value, plain) for every non-null value of the fields.
+    """One row (key, fieldname, value, alike, plain) for every non-null value of the fields.
 
-    plain is the consistent form. It is made inside the generator, past which
-    no filter is pushed, so that it is worked out once per value.
+    alike: the value with look-alikes mapped, null where that is plain; plain:
+    its consistent form. They are made inside the generator, past which no
+    filter is pushed, so that they are worked out once per value.
     """
-    one = lambda f: F.struct(F.lit(f).alias("fieldname"), F.col(f).cast("string").alias("value"), consistent(F.col(f).cast("string")).alias("plain"))
+
+    def one(field: str) -> Column:
+        value = F.col(field).cast("string")
+        made = lambda p: F.struct(F.lit(field).alias("fieldname"), value.alias("value"), F.nullif(mapped(value), p).alias("alike"), p.alias("plain"))
+        return _let(consistent(value), made)
+
     pairs = F.explode(F.array(*[one(f) for f in fields]))
-    return df.select(F.col(key).alias("key"), pairs.alias("p")).select("key", "p.fieldname", "p.value", "p.plain").where("value is not null")
+    return df.select(F.col(key).alias("key"), pairs.alias("p")).select("key", "p.fieldname", "p.value", "p.alike", "p.plain").where("value is not null")
 
 
 def canonical_values(values: DataFrame) -> DataFrame:
-    """(key, fieldname, value, plain, canonical) for the rows of ``field_values``.
+    """(key, fieldname, value, canonical) for the rows of ``field_values``.
 
-    Classes are those of ``collate(plain, 'UNICODE')`` over the rewritten
-    values; the canonical member is the smallest rewritten value, one that
-    occurs unchanged before one that doesn't.
+    Classes are those of ``collate(.., 'UNICODE')``, which minds accents and
+    case, over the values with look-alikes mapped. The canonical member is the
+    consistent form of a member that occurs in that form, else of any, the
+    shortest and then the smallest first.
     """
     spark = values.sparkSession
-    view = f"refweave_unify_{uuid.uuid4().hex[:12]}"
     # Equal under the collation means equal plain ASCII letters and digits (letters that bear an accent set aside): hashing these first
     # spares all but a few of the costly comparisons.
-    skeleton = F.xxhash64(F.regexp_replace("plain", r"[A-Za-z0-9]\p{M}+|[^A-Za-z0-9]+", ""))
-    values.withColumn("skeleton", skeleton).createOrReplaceTempView(view)
+    skeleton = F.xxhash64(F.regexp_replace(F.coalesce("alike", "plain"), r"[A-Za-z0-9]\p{M}+|[^A-Za-z0-9]+", ""))
+    kept = cut(values.withColumn("skeleton", skeleton))
+    view = f"refweave_unify_{uuid.uuid4().hex[:12]}"
+    kept.createOrReplaceTempView(view)
     return spark.sql(
         f"""
         with classes as (
-            select skeleton, collate(plain, 'UNICODE') as class, min(struct(value <> plain, plain)).plain as canonical
-            from {view} group by skeleton, collate(plain, 'UNICODE')
+            select skeleton, collate(coalesce(alike, plain), 'UNICODE') as class, min(struct(value <> plain, length(plain), plain)).plain as canonical
+            from {view} group by skeleton, collate(coalesce(alike, plain), 'UNICODE')
         )
-        select v.key, v.fieldname, v.value, v.plain, c.canonical
-        from {view} v join classes c on v.skeleton = c.skeleton and collate(v.plain, 'UNICODE') = c.class
+        select v.key, v.fieldname, v.value, c.canonical
+        from {view} v join classes c on v.skeleton = c.skeleton and collate(coalesce(v.alike, v.plain), 'UNICODE') = c.class
         """
     )
 

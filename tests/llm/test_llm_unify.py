@@ -32,6 +32,19 @@ def test_canonical_values_with_clashing_columns(spark):
     assert unify.canonical_values(unify.field_values(df.limit(0), "key", ["name"])).collect() == []
 
 
+def test_nothing_of_a_long_value_is_lost(spark):
+    raw = "caf" + "e\u0301" + " , \u0308" + "y" * 3000
+    got = spark.createDataFrame([(raw,)], "v string").select(unify.consistent(F.col("v")).alias("x")).first().x
+    assert got == unicodedata.normalize("NFC", raw) and len(got) == len(raw) - 1
+
+
+def test_the_collation_alone_tells_values_equal(spark):
+    # Neither the composed syllable nor the control character is in a table of look-alikes.
+    rows = [(1, "\u1112\u1161\u11ab"), (2, "\ud55c"), (3, "Ku\u0001hn"), (4, "Kuhn"), (5, "K\u00fchn"), (6, "kuhn"), (7, "Ku\u0308hn")]
+    got = unify.canonical_values(unify.field_values(spark.createDataFrame(rows, "key int, name string"), "key", ["name"])).collect()
+    assert {r.key: r.canonical for r in got} == {1: "\ud55c", 2: "\ud55c", 3: "Kuhn", 4: "Kuhn", 5: "K\u00fchn", 6: "kuhn", 7: "K\u00fchn"}
+
+
 def test_compared_form(spark):
     df = spark.createDataFrame([("Gefängnis,  Übel",), ("GEFAENGNIS; uebel",), ("Gefangnis Ubel",)], "v string")
     assert {r.x for r in df.select(unify.compared(F.col("v")).alias("x")).collect()} == {"gefangnis ubel"}
