@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refweave.llm.unify import compared
-from refweave.sources.tables import cut, parallelism
+from refweave.sources.tables import cut
 
 CHUNK = 200
 
@@ -136,7 +136,7 @@ def consensus(lines: DataFrame) -> DataFrame:
         rest = lines.join(sizes.where("count > 1"), ["duplicateid", "fieldname"])
         chunk = F.pmod(F.xxhash64("line"), F.greatest(F.lit(1), F.ceil(F.col("count") / CHUNK)))
         keys = ["duplicateid", "fieldname", "chunk"]
-        rest = rest.select("duplicateid", "fieldname", chunk.alias("chunk"), "line", "weight").repartition(parallelism(lines), *keys).sortWithinPartitions(*keys)
+        rest = rest.select("duplicateid", "fieldname", chunk.alias("chunk"), "line", "weight").repartition(*keys).sortWithinPartitions(*keys)
         lines = cut(rest.mapInPandas(_chunks, schema))
         if lines.isEmpty():
             break
@@ -159,7 +159,8 @@ def _member_values(refs: DataFrame, members: DataFrame, pipelines: DataFrame) ->
 
     def one(field: str) -> Column:
         value = F.col(field).cast("string")
-        line = compared(value) if field != "year" else value
+        # A year is aligned digit by digit.
+        line = compared(value) if field != "year" else F.trim(F.regexp_replace(value, "([0-9])", "$1 "))
         return F.struct(F.lit(field).alias("fieldname"), value.alias("value"), line.alias("line"))
 
     parts = rows.select("duplicateid", "refid", "trust", "extracted_at", F.explode(F.array(*[one(f) for f in ("title", "year", "a1sur", "source")])).alias("p"))
@@ -174,7 +175,7 @@ def judged(refs: DataFrame, members: DataFrame, pipelines: DataFrame) -> DataFra
     """The usable values of every group, with ``consensus`` and ``usable``."""
     values = cut(_member_values(refs, members, pipelines).where("ok"))
     weight = F.sum(F.lit(1.0) + F.coalesce("trust", F.lit(0)) / 10)
-    lines = values.where("fieldname <> 'year'").groupBy("duplicateid", "fieldname", "line").agg(weight.alias("weight"))
+    lines = values.groupBy("duplicateid", "fieldname", "line").agg(weight.alias("weight"))
     agreed = consensus(lines)
     both = values.join(agreed, ["duplicateid", "fieldname"], "left")
     return both.withColumn("usable", ~((F.col("fieldname") == "title") & cut_off(F.col("value"), F.col("line"), F.col("consensus"))))
@@ -183,7 +184,7 @@ def judged(refs: DataFrame, members: DataFrame, pipelines: DataFrame) -> DataFra
 def cut_off(value: Column, line: Column, consensus_text: Column) -> Column:
     """Whether a title ends before the consensus does: it is like the beginning of the consensus and unlike the whole."""
     n, whole = F.length(line), F.length(consensus_text)
-    begins = F.levenshtein(line, F.substring(consensus_text, F.lit(1), n), 12).between(0, F.least(F.lit(12), F.floor(n * 0.15)))
+    begins = F.call_function("levenshtein", line, F.substring(consensus_text, F.lit(1), n), F.floor(n * 0.15).cast("int")) >= 0
     # The end itself must be missing: the last words of the consensus are no part of the line.
     tail = F.substring(consensus_text, whole - 5, F.lit(6))
     shorter = (n <= whole - 2) & (F.substring(line, n - 5, F.lit(6)) != tail)
@@ -201,7 +202,7 @@ def survivors(refs: DataFrame, members: DataFrame, pipelines: DataFrame) -> Data
 
 def consensus_values(refs: DataFrame, members: DataFrame, pipelines: DataFrame) -> DataFrame:
     """(duplicateid, fieldname, value, refid): the existing value closest to the consensus of its group and field."""
-    values = judged(refs, members, pipelines).where("fieldname <> 'year'")
+    values = judged(refs, members, pipelines)
     distance = F.levenshtein("line", "consensus")
     order = F.struct(distance.alias("distance"), (-F.coalesce("trust", F.lit(-1))).alias("trust"), "refid", "value")
     return values.groupBy("duplicateid", "fieldname").agg(F.min(order).alias("best")).select("duplicateid", "fieldname", "best.value", "best.refid")

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from refweave.llm import names, survivor
@@ -73,3 +74,23 @@ def test_existing_value_closest_to_the_consensus(spark):
     members = spark.createDataFrame([("g", i) for i in range(4)], MEMBER)
     got = survivor.consensus_values(refs, members, spark.createDataFrame([("good", 9)], "pipeline string, trust bigint")).collect()
     assert {r.value for r in got if r.fieldname == "title"} == {FULL}
+
+
+def test_consensus_beats_the_most_frequent_value(spark):
+    rng = random.Random(6)
+    rows, members, truth, frequent = [], [], {}, {}
+    for g in range(30):
+        words = [rng.choice(FULL.split()) + str(rng.randrange(99)) for _ in range(8)]
+        truth[g, "title"], truth[g, "year"] = " ".join(words), str(1950 + g)
+        broken = " ".join(words[:-1] + ["zzz"])
+        slips = [" ".join(w if k != slip else w[:-1] for k, w in enumerate(words)) for slip in rng.sample(range(8), 4)]
+        titles = [broken, broken, *slips, truth[g, "title"]]
+        years = [1950 + g, 1850 + g, 1950 + g, 1950 + g, 1960 + g, None, 1950 + g]
+        frequent[g, "title"] = broken
+        for k, (title, year) in enumerate(zip(titles, years, strict=True)):
+            rows.append((100 * g + k, title, year, "A", "S", "good", None, "x"))
+            members.append((str(g), 100 * g + k))
+    got = survivor.consensus_values(spark.createDataFrame(rows, ROW), spark.createDataFrame(members, MEMBER), spark.createDataFrame([("good", 9)], "pipeline string, trust bigint")).collect()
+    values = {(int(r.duplicateid), r.fieldname): r.value for r in got}
+    right = sum(values[k] == v for k, v in truth.items())
+    assert right == len(truth) and not any(frequent[k] == truth[k] for k in frequent)
