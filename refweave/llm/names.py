@@ -5,13 +5,20 @@ with one spelling and one given name. A typed name is read in all ways it can
 be read (surname first or last, with a comma, initials, the parts swapped).
 Records meet profiles in blocks of shared one-deletion variants of a spelling;
 a record that fits exactly one profile is merged: its spelling, given name and
-initial join the profile. The richer profiles re-enter blocking with what they
-gained, until a round merges nothing. A name that two entries fit equally is
-left open, and so is one whose given name speaks against the entry.
+initial join the profile. The profiles that have become richer re-enter blocking
+with all they have, and the open records they meet are matched again, until a
+round merges nothing. A name that two entries fit equally is left open, and so
+is one whose given name speaks against the entry.
+
+Familiar forms of given names are no list but are learned from merged evidence:
+a form written beside the surnames of several entries, that nobody else bears,
+stands for the given name that a good part of these entries share. A table of
+further forms can be passed in.
 
 Publishers go the same way: the words that many entries share stand in the
 place of given names, the others are the spelling; legal forms and places fall
-away, abbreviations are read as the words they begin.
+away, abbreviations are read as the words they shorten. General words and places
+are tables that names are joined with, word by word.
 
 Defined cases: null, blank and placeholder names have no entry; repeated rows
 are resolved once and come out each; exact spellings match; an empty authority
@@ -25,32 +32,17 @@ from pyspark.sql import functions as F
 
 from refweave.llm.survivor import NO_NAME
 from refweave.llm.unify import compared
-from refweave.sources.tables import cut
+from refweave.operators.language import deletions
+from refweave.sources.tables import cut, drop
 
-ROUNDS = 6
 COMMON = 5  # entries from which on a word of publishers' names is a general one
-GENERAL_WORDS = 1000  # general words and places at most, a bound on what goes into the plan
-
-# Familiar forms of given names and the names they stand for, in compared form.
-NICKNAMES = {
-    "sascha": "alexander", "alex": "alexander", "andi": "andreas", "anne": "anneliese", "liesel": "anneliese", "bart": "bartholomew", "ben": "benjamin", "benny": "benjamin",
-    "chris": "christopher", "kit": "christopher", "conny": "cornelia", "nele": "cornelia", "dan": "daniel", "danny": "daniel", "dora": "dorothea", "thea": "dorothea", "ted": "edward", "ed": "edward", "eddie": "edward",
-    "nora": "eleonora", "ella": "eleonora", "elli": "elisabeth", "lisa": "elisabeth", "sissi": "elisabeth", "betty": "elisabeth", "franzi": "franziska", "sissy": "franziska", "fred": "friedrich", "fritz": "friedrich", "freddy": "frederick",
-    "gabi": "gabriele", "gottl": "gottfried", "heinz": "heinrich", "heiner": "heinrich", "heini": "heinrich", "etta": "henrietta", "hetty": "henrietta", "hilde": "hildegard", "iggy": "ignatius", "belle": "isabelle", "isa": "isabelle",
-    "jenny": "jennifer", "jen": "jennifer", "jochen": "joachim", "achim": "joachim", "hanna": "johanna", "hannes": "johannes", "hans": "johannes", "pepe": "jose", "kathe": "katharina", "kathi": "katharina", "ken": "kenneth", "kostja": "konstantin", "konni": "konstantin",
-    "len": "leonard", "leo": "leonard", "lutz": "ludwig", "lena": "magdalena", "magda": "magdalena", "grete": "margarete", "gretel": "margarete", "matze": "matthias", "mike": "michael", "michi": "michael", "mick": "michael", "nate": "nathaniel", "nat": "nathaniel",
-    "klaus": "nikolaus", "niko": "nikolaus", "ossi": "oskar", "otti": "ottilie", "trish": "patricia", "pat": "patricia", "pip": "philippa", "becky": "rebecca", "bob": "robert", "rob": "robert", "sam": "samuel", "sigi": "sigrid", "susi": "susanne", "sanne": "susanne",
-    "dorle": "theodora", "tom": "thomas", "tim": "timothy", "tobi": "tobias", "uli": "ulrike", "ulli": "ulrike", "uschi": "ursula", "ulla": "ursula", "val": "valentina", "vally": "valentina", "vik": "viktor", "walt": "walter",
-    "wilma": "wilhelmina", "mina": "wilhelmina", "minna": "wilhelmina", "bill": "william", "will": "william", "billy": "william", "wolf": "wolfgang", "zach": "zacharias", "zacky": "zacharias",
-}
+BEARERS, SHARE = 2, 0.3  # entries, and part of the entries it is seen with, from which on a form stands for a given name
+
 # Words beside a name.
 BESIDE = r"\b(?:prof|dr|hrsg|herausgeber|ed|eds|editor|et al|u a|and others|jr|sr)\b"
 PARTICLES = r"^(?:(?:van der|van den|van|von der|von|vom|zu|de la|de|del|della|du|le|la|af|av|den|der|ter)\b ?)+"
-# Legal forms of firms, and written forms of general words that aren't their beginnings.
+# Legal forms of firms.
 LEGAL = r"\b(?:gmbh|co|kg|ag|ltd|inc|llc|plc|s a|sa|se|ug|mbh)\b"
-SHORTENED = {"vlg": "verlag", "vlag": "verlag", "hse": "house"}
-
-
 # Words that join the parts of a publisher's name and tell nothing.
 JOINING = ("of", "and", "fur", "the", "und", "et", "u")
 
@@ -75,7 +67,7 @@ def prepared(sur: Column, init: Column, first: Column) -> list[Column]:
 def readings(text: Column, own: Column) -> Column:
     """All ways to read a prepared name as spelling and given name."""
     plainly = lambda c: F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " "))
-    left, right = F.trim(F.substring_index(text, ",", 1)), plainly(F.substring(text, F.instr(text, ",") + 1, F.lit(10_000)))
+    left, right = F.trim(F.substring_index(text, ",", 1)), plainly(F.substring(text, F.instr(text, ",") + 1, F.length(text)))
     plain = plainly(text)
     words = F.split(plain, " ")
     n = F.size(words)
@@ -92,40 +84,62 @@ def readings(text: Column, own: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*forms), lambda r: r.isNotNull() & (F.length(r["spelling"]) > 1)))
 
 
-def with_full(records: DataFrame) -> DataFrame:
-    """Adds ``full``: the given name's first word, a familiar form as the name it stands for."""
-    first = F.substring_index("given", " ", 1)
-    names = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
-    return records.withColumn("full", F.coalesce(F.element_at(names, first), first))
+def familiar_forms(records: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(short, names): given names that a form beside a surname may stand for, learned from (spelling, given) of records.
+
+    Only spellings of one entry count. A form counts once per entry, however often it is written.
+    """
+    sole = profiles.groupBy("spelling").agg(F.count("*").alias("k"), F.first("nameid").alias("nameid"), F.first(F.substring_index("given", " ", 1)).alias("name")).where("k = 1 and length(name) > 1")
+    seen = records.select("spelling", F.substring_index("given", " ", 1).alias("short")).where("length(short) > 1").distinct()
+    pairs = seen.join(sole.select("spelling", "nameid", "name"), "spelling").groupBy("short", "name").agg(F.countDistinct("nameid").alias("n"))
+    # The names that one form goes with are few, as an authority has few given names.
+    part = F.col("n") / F.sum("n").over(Window.partitionBy("short"))
+    good = pairs.withColumn("part", part).where((F.col("n") >= BEARERS) & (F.col("part") >= SHARE) & (F.col("short") != F.col("name")))
+    return good.groupBy("short").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("names"))
+
+
+def with_full(records: DataFrame, forms: DataFrame) -> DataFrame:
+    """Adds ``full``: the given name's first word and the names it may stand for."""
+    first = records.withColumn("short", F.substring_index("given", " ", 1))
+    return first.join(forms, "short", "left").withColumn("full", F.concat_ws(" ", "short", "names")).drop("short", "names")
 
 
 def _given_fit(given: Column, full: Column, forms: Column, initials: Column) -> Column:
     """3 the given name, 2 its beginning, 1 its initial, 0 nothing to compare, -1 against it."""
     first = F.substring_index(given, " ", 1)
-    same = F.exists(forms, lambda f: (f == full) | (f == first) | ((F.length(full) >= 4) & (F.length(f) >= 4) & (F.levenshtein(f, full) <= F.when(F.length(full) >= 6, 2).otherwise(1))))
+    near = lambda f, u: (f == u) | ((F.length(u) >= 4) & (F.length(f) >= 4) & (F.levenshtein(f, u) <= F.when(F.length(u) >= 6, 2).otherwise(1)))
+    same = F.exists(F.split(full, " "), lambda u: F.exists(forms, lambda f: near(f, u)))
     begins = F.exists(forms, lambda f: f.startswith(first))
     return F.when(F.length(given) == 0, 0).when(same, 3).when(begins & (F.length(first) > 1), 2).when(F.array_contains(initials, F.substring(first, 1, 1)) & (F.length(first) == 1), 1).otherwise(-1)
 
 
+def _blocked(spellings: DataFrame) -> DataFrame:
+    return spellings.select("nameid", F.col("spelling").alias("known")).distinct().withColumn("block", F.explode(_deletions(F.col("known"))))
+
+
 def resolve(profiles: DataFrame, records: DataFrame, fit) -> DataFrame:
     """(rec, nameid): records (rec, spelling, given, full), one row per reading, resolved to profiles (nameid, spelling, given).
 
     fit(given, full, forms, initials): how well a given part fits those of a profile, -1 if it speaks against it.
     """
+    # Exploded variants of names are far smaller as files than in memory: "merge" keeps the planner from taking them for small.
     records = cut(records.where("spelling is not null and length(spelling) > 1"))
-    blocks = cut(records.withColumn("block", F.explode(_deletions(F.col("spelling")))).select("block", "rec", "spelling", "given", "full"))
+    open_blocks = cut(records.withColumn("block", F.explode(_deletions(F.col("spelling")))).select("block", "rec", "spelling", "given", "full"))
     evidence = cut(profiles.select("nameid", "spelling", "given").distinct())
-    resolved = None
-    for _ in range(ROUNDS):
+    resolved, richer = [], None
+    while True:
+        entering = open_blocks
+        if richer is not None:
+            # All that a richer profile has re-enters; an open record that meets it meets all profiles, as it must see a second fit.
+            again = _blocked(evidence.join(richer.select("nameid").distinct(), "nameid", "left_semi"))
+            touched = open_blocks.select("block", "rec").join(again.select("block").distinct().hint("merge"), "block", "left_semi").select("rec").distinct()
+            entering = open_blocks.join(touched.hint("merge"), "rec", "left_semi")
         forms = evidence.groupBy("nameid").agg(F.collect_set(F.when(F.length("given") > 1, F.col("given"))).alias("forms"), F.collect_set(F.substring("given", 1, 1)).alias("initials"))
-        # Open records meet all profiles, as one that two fit must see both.
-        spelt = evidence.select("nameid", F.col("spelling").alias("known")).distinct()
-        open_blocks = blocks if resolved is None else blocks.join(resolved, "rec", "left_anti")
-        met = open_blocks.join(spelt.withColumn("block", F.explode(_deletions(F.col("known")))), "block")
+        met = entering.join(_blocked(evidence).hint("merge"), "block")
         met = met.groupBy("rec", "spelling", "given", "full", "nameid").agg(F.min(F.levenshtein("spelling", "known")).alias("away"))
         # Two changed letters are at most a transposition; short names must agree.
         met = met.where("away <= least(2, length(spelling) div 4)")
-        fits = met.join(forms, "nameid").withColumn("fit", fit(F.col("given"), F.col("full"), F.col("forms"), F.col("initials"))).where("fit >= 0")
+        fits = met.join(forms.hint("merge"), "nameid").withColumn("fit", fit(F.col("given"), F.col("full"), F.col("forms"), F.col("initials"))).where("fit >= 0")
         best = fits.groupBy("rec", "nameid").agg(F.max(F.struct((-F.col("away")).alias("near"), "fit", "spelling", "given")).alias("best"))
         ranks = best.select("rec", "nameid", "best.*")
         first = Window.partitionBy("rec")
@@ -133,14 +147,22 @@ def resolve(profiles: DataFrame, records: DataFrame, fit) -> DataFrame:
         merged = cut(ranks.where("ties = 1").select("rec", "nameid", "spelling", "given"))
         if merged.isEmpty():
             break
-        resolved = merged.select("rec", "nameid") if resolved is None else cut(resolved.union(merged.select("rec", "nameid")))
-        gained = merged.select("nameid", "spelling", "given").distinct()
-        richer = cut(gained.join(evidence, ["nameid", "spelling", "given"], "left_anti"))
+        resolved.append(merged)
+        now = cut(merged.select("nameid", "spelling", "given").distinct().join(evidence.hint("merge"), ["nameid", "spelling", "given"], "left_anti"))
+        drop(richer)
+        richer = now
         if richer.isEmpty():
             break
-        # With anything new profiles re-enter blocking: a new spelling or initial may admit a record that was turned away.
-        evidence = cut(evidence.union(richer))
-    return resolved if resolved is not None else records.limit(0).select("rec", F.lit(None).cast("long").alias("nameid"))
+        wider = cut(evidence.union(richer))
+        left = cut(open_blocks.join(merged.select("rec").hint("merge"), "rec", "left_anti"))
+        drop(evidence, open_blocks)
+        evidence, open_blocks = wider, left
+    drop(open_blocks, evidence, richer)
+    out = records.select("rec", F.lit(None).cast("long").alias("nameid")).limit(0) if not resolved else None
+    for merged in resolved:
+        part = merged.select("rec", "nameid")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def persons(authority: DataFrame) -> DataFrame:
@@ -148,35 +170,36 @@ def persons(authority: DataFrame) -> DataFrame:
     return authority.where("kind = 'person' and surname is not null").select("nameid", name.alias("r")).select("nameid", "r.spelling", "r.given")
 
 
-def _publisher_words(authority: DataFrame) -> tuple[list[str], list[str]]:
-    """General words of publishers' names, and their places: a bounded list each."""
-    firms = authority.where("kind = 'publisher'")
-    words = firms.select(F.explode(F.array_distinct(F.split(compared(F.col("orgname")), " "))).alias("w")).groupBy("w").count()
-    general = [r.w for r in words.where((F.col("count") >= COMMON) & (F.length("w") > 0)).orderBy(F.desc("count"), "w").limit(GENERAL_WORDS).collect()]
-    places = firms.select(compared(F.col("place")).alias("p")).where("length(p) > 2").groupBy("p").count().orderBy(F.desc("count"), "p").limit(GENERAL_WORDS)
-    return general, [r.p for r in places.collect()]
+def publisher_text(name: Column) -> Column:
+    """A publisher's name for comparison, without its legal form."""
+    return F.regexp_replace(F.trim(F.regexp_replace(compared(name), LEGAL, "")), r"\b(?:u p|up)\b", "university press")
 
 
-def publisher_text(name: Column, places: list[str]) -> Column:
-    """A publisher's name for comparison, without legal form and place."""
-    text = F.trim(F.regexp_replace(compared(name), LEGAL, ""))
-    if places:
-        text = F.trim(F.regexp_replace(text, rf"(?:^|(?<= ))(?:{'|'.join(places)})(?= |$)", ""))
-    return F.regexp_replace(text, r"\b(?:u p|up)\b", "university press")
+def publisher_readings(names: DataFrame, firms: DataFrame) -> DataFrame:
+    """(id, spelling, given) of publishers' names (id, name): their own words and their general words, each sorted.
 
-
-def publisher_reading(text: Column, general: list[str]) -> Column:
-    """A prepared publisher's name as spelling (its own words, sorted) and given part (its general words, sorted)."""
-    known = F.array(*[F.lit(g) for g in general]) if general else F.array().cast("array<string>")
-    short = F.create_map(*[F.lit(x) for kv in SHORTENED.items() for x in kv])
-    words = F.transform(F.filter(F.split(text, " +"), lambda w: (F.length(w) > 0) & ~w.isin(*JOINING)), lambda w: F.coalesce(F.element_at(short, w), w))
-    # A beginning of general words stays as it is written, as it may be that of several.
-    typo = lambda w: F.get(F.filter(known, lambda g: (F.length(w) >= 5) & (F.levenshtein(g, w) <= 2)), F.lit(0))
-    begins = lambda w: (F.length(w) >= 2) & F.exists(known, lambda g: g.startswith(w))
-    read = F.transform(words, lambda w: F.struct(w.alias("w"), F.when(F.array_contains(known, w) | begins(w), w).otherwise(typo(w)).alias("g")))
-    own = F.array_join(F.array_sort(F.transform(F.filter(read, lambda x: x["g"].isNull()), lambda x: x["w"])), " ")
-    rest = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(read, lambda x: x["g"].isNotNull()), lambda x: x["g"]))), " ")
-    return F.struct(own.alias("spelling"), rest.alias("given"))
+    firms: (nameid, orgname, place). A word that COMMON entries or more share is a general one. A beginning of general
+    words stays as it is written, as it may be that of several; a word of five letters or more within two edits of a
+    general word, or one made of some of its letters from the first to the last, is read as that, the most frequent first.
+    """
+    split = lambda text: F.filter(F.split(text, " +"), lambda w: (F.length(w) > 0) & ~w.isin(*JOINING))
+    general = cut(firms.select(F.explode(F.array_distinct(split(compared(F.col("orgname"))))).alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
+    places = firms.select(F.explode(F.split(compared(F.col("place")), " ")).alias("w")).where("length(w) > 2").distinct()
+    tokens = cut(names.select("id", F.explode(split(publisher_text(F.col("name")))).alias("w")).join(places, "w", "left_anti"))
+    words = cut(tokens.select("w").distinct())
+    begins = general.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("g")), lambda i: F.substring("g", F.lit(1), i))).alias("w")).where("length(w) > 1").distinct()
+    known = words.join(begins, "w", "left_semi").select("w", F.col("w").alias("g"))
+    other = words.join(begins, "w", "left_anti")
+    form = lambda df, c: df.withColumn("form", F.explode(deletions(F.col(c), 2)))
+    typo = form(other.where("length(w) >= 5"), "w").join(form(general, "g"), "form").where("levenshtein(w, g) <= 2").select("w", "g", "n", F.lit(0).alias("kind"))
+    ends = lambda c: (F.substring(c, 1, 1), F.substring(c, -1, 1))
+    side = lambda df, c: df.withColumns({"first": ends(c)[0], "last": ends(c)[1]})
+    within = side(other.where("length(w) >= 3"), "w").join(side(general, "g"), ["first", "last"]).where("length(w) < length(g) and g like regexp_replace(w, '(.)', '$1%')")
+    short = within.select("w", "g", "n", F.lit(1).alias("kind"))
+    read = typo.union(short).groupBy("w").agg(F.min_by("g", F.struct("kind", (-F.col("n")).alias("n"), "g")).alias("g"))
+    told = tokens.join(known.union(read), "w", "left")
+    line = lambda c: F.array_join(F.array_sort(c), " ")
+    return told.groupBy("id").agg(line(F.collect_list(F.when(F.col("g").isNull(), F.col("w")))).alias("spelling"), line(F.collect_set("g")).alias("given"))
 
 
 def _initials(name: Column) -> Column:
@@ -192,27 +215,35 @@ def _general_fit(given: Column, full: Column, forms: Column, initials: Column) -
     return F.when(same, 3).when(F.size(mine) == 0, 0).when(F.exists(forms, part), 2).otherwise(-1)
 
 
-def resolved_names(refs: DataFrame, authority: DataFrame) -> DataFrame:
-    """(refid, fieldname, nameid) for a1sur, e1sur and publisher1 of every row."""
+def resolved_names(refs: DataFrame, authority: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
+    """(refid, fieldname, nameid) for a1sur, e1sur and publisher1 of every row.
+
+    nicknames: further familiar forms (short, name), in compared form.
+    """
     authority = cut(authority)
     typed = lambda f: F.struct(F.lit(f"{f}1sur").alias("fieldname"), F.col(f"{f}1sur").alias("sur"), F.col(f"{f}1init").alias("init"), F.col(f"{f}1first").alias("first"))
     rows = refs.select("refid", F.explode(F.array(typed("a"), typed("e"))).alias("t")).select("refid", "t.*")
     rows = cut(rows.where("sur is not null").withColumn("rec", F.xxhash64("sur", F.coalesce("init", F.lit("\0")), F.coalesce("first", F.lit("\0")))))
     records = rows.groupBy("rec").agg(F.first("sur").alias("sur"), F.first("init").alias("init"), F.first("first").alias("first"))
     records = cut(records.select("rec", *prepared(F.col("sur"), F.col("init"), F.col("first")), compared(F.col("sur")).isin(*NO_NAME).alias("none"))).where("not none")
-    read = with_full(records.select("rec", F.explode(readings(F.col("text"), F.col("own"))).alias("r")).select("rec", "r.spelling", "r.given"))
-    people = rows.select("refid", "fieldname", "rec").join(resolve(persons(authority), read, _given_fit), "rec").select("refid", "fieldname", "nameid")
-
-    general, places = _publisher_words(authority)
-    firms = authority.where("kind = 'publisher' and orgname is not null")
-    own = firms.select("nameid", publisher_text(F.col("orgname"), places).alias("text")).select("nameid", publisher_reading(F.col("text"), general).alias("r")).select("nameid", "r.spelling", "r.given")
+    read = cut(records.select("rec", F.explode(readings(F.col("text"), F.col("own"))).alias("r")).select("rec", "r.spelling", "r.given"))
+    entries = persons(authority)
+    forms = familiar_forms(read, entries)
+    if nicknames is not None:
+        more = nicknames.groupBy("short").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("names"))
+        forms = forms.unionByName(more).groupBy("short").agg(F.array_join(F.sort_array(F.collect_set("names")), " ").alias("names"))
+    people = rows.select("refid", "fieldname", "rec").join(resolve(entries, with_full(read, cut(forms)), _given_fit), "rec").select("refid", "fieldname", "nameid")
+
+    firms = authority.where("kind = 'publisher' and orgname is not null").select("nameid", "orgname", "place")
+    names = refs.select("refid", F.col("publisher1").alias("rec")).where("rec is not null")
+    spelt = cut(names.select("rec").distinct())
+    # Names of entries and typed names are read together; an entry goes by its number, a typed name by itself.
+    both = firms.select(F.struct("nameid", F.lit(None).cast("string").alias("rec")).alias("id"), F.col("orgname").alias("name")).union(spelt.select(F.struct(F.lit(None).cast("long").alias("nameid"), "rec"), "rec"))
+    told = cut(publisher_readings(both, firms)).select("id.nameid", "id.rec", "spelling", "given")
     # Firms are also known by their initials, and partnerships by the first partner.
     partners = firms.where("orgname like '%&%'").select("nameid", F.substring_index(compared(F.col("orgname")), " ", 1), F.lit(""))
-    profiles = own.union(firms.select("nameid", _initials(F.col("orgname")), F.lit(""))).union(partners)
-    names = refs.select("refid", "publisher1").where("publisher1 is not null")
-    capitals = F.struct(F.lower(F.trim("rec")).alias("spelling"), F.lit("").alias("given"))
-    spelt = cut(names.select(F.col("publisher1").alias("rec")).distinct().withColumn("text", publisher_text(F.col("rec"), places)))
-    ways = F.array_compact(F.array(publisher_reading(F.col("text"), general), F.when(F.trim("rec").rlike(r"^\p{Lu}{3,6}$"), capitals)))
-    read = spelt.select("rec", F.explode(ways).alias("r")).select("rec", "r.spelling", "r.given", F.col("r.given").alias("full"))
-    houses = names.withColumnRenamed("publisher1", "rec").join(resolve(profiles, read, _general_fit), "rec").select("refid", F.lit("publisher1").alias("fieldname"), "nameid")
+    profiles = told.where("nameid is not null").select("nameid", "spelling", "given").union(firms.select("nameid", _initials(F.col("orgname")), F.lit(""))).union(partners)
+    capitals = spelt.where(F.trim("rec").rlike(r"^\p{Lu}{2,}$")).select("rec", F.lower(F.trim("rec")).alias("spelling"), F.lit("").alias("given"))
+    read = told.where("rec is not null").select("rec", "spelling", "given").union(capitals).withColumn("full", F.col("given"))
+    houses = names.join(resolve(profiles, read, _general_fit), "rec").select("refid", F.lit("publisher1").alias("fieldname"), "nameid")
     return people.union(houses)

@@ -7,8 +7,9 @@ REFS = "refid bigint, a1sur string, a1init string, a1first string, e1sur string,
 AUTHORITY = "nameid bigint, kind string, surname string, firstname string, orgname string, place string"
 
 
-def resolve(spark, refs, authority):
-    got = names.resolved_names(spark.createDataFrame(refs, REFS), spark.createDataFrame(authority, AUTHORITY)).collect()
+def resolve(spark, refs, authority, short=()):
+    nicknames = spark.createDataFrame(short, "short string, name string") if short else None
+    got = names.resolved_names(spark.createDataFrame(refs, REFS), spark.createDataFrame(authority, AUTHORITY), nicknames).collect()
     return {(r.refid, r.fieldname): r.nameid for r in got}
 
 
@@ -21,12 +22,20 @@ def test_variants_of_one_entry(spark):
     ]
     refs = [(r, s, i, f, None, None, None, None, 0) for r, s, i, f in rows]
     refs += [(30, None, None, None, "Prof. Belckibwick", None, None, "Tomton Univ. Pr., Quarnstedt", 0), (31, None, None, None, None, None, None, "Hestermoor: tomton vlg. GmbH", 0), (32, None, None, None, None, None, None, "Tomton", 0), (33, None, None, None, None, None, None, "Press of Alpen University", 0), (34, None, None, None, None, None, None, "Alpen Verlag", 0)]
-    got = resolve(spark, refs, people + houses)
+    got = resolve(spark, refs, people + houses, [("becky", "rebecca")])
     assert {r: got.get((r, "a1sur")) for r in range(1, 13)} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 7: 3, 8: None, 9: None, 10: None, 11: None, 12: None}
     assert got[(30, "e1sur")] == 4
     assert {r: got.get((r, "publisher1")) for r in range(30, 35)} == {30: 10, 31: 20, 32: None, 33: 11, 34: None}
 
 
+def test_familiar_forms_are_learned_from_other_entries(spark):
+    people = [(i, "person", f"{s}berg", "Rebecca" if i < 4 else "Walter", None, None) for i, s in enumerate(("Klora", "Menin", "Tulka", "Sarvo", "Ostri", "Velka"))] + [(9, "person", "Norbygard", "Rebecca", None, None), (10, "person", "Norbygard", "Walter", None, None)]
+    rows = [(i, f"{s}berg", None, f"{s}berg_Becky", None, None, None, None, 0) for i, s in enumerate(("Klora", "Menin", "Tulka"))]
+    rows += [(7, "Norbygard", None, "Norbygard_Becky", None, None, None, None, 0), (8, "Ostriberg", None, "Ostriberg_Zoe", None, None, None, None, 0)]
+    got = resolve(spark, rows, people)
+    assert {r: got.get((r, "a1sur")) for r in (0, 1, 2, 7, 8)} == {0: 0, 1: 1, 2: 2, 7: 9, 8: None}
+
+
 def test_no_authority_and_no_rows(spark):
     row = [(1, "A", None, None, None, None, None, "B", 0)]
     assert resolve(spark, row, []) == {}
