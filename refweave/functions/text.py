@@ -140,6 +140,21 @@ def logistic_curve(t: Column, growth: float, k: float, f0: float) -> Column:
     return F.lit(growth) / (1 + F.exp(F.lit(-k * growth) * t) * F.lit(growth / f0 - 1))
 
 
+def root_curve(x: Column, scale: float, n: float, offset: float) -> Column:
+    """The n-th root, scaled and lowered: scale x^(1/n) - offset."""
+    return F.lit(scale) * F.pow(x, F.lit(1.0 / n)) - offset
+
+
+def double_logistic_curve(x: Column, height: float, m: float, start: float) -> Column:
+    """A steep logistic curve and a slow one of an m-th of its pace, added."""
+    return logistic_curve(x, height, height, start) + logistic_curve(x, height, height / m, start / (m * 2000.0))
+
+
+def serialised(pairs: Column) -> Column:
+    """Feature pairs (type, value) as text: sorted, ``type&"value"`` with semicolons between."""
+    return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["type"], F.lit('&"'), p["value"], F.lit('"'))), ";")
+
+
 def similarity(kind: str, shared: Column, a: Column, b: Column) -> Column:
     """jaccard, dice, overlap or cosine from the sizes of two sets and of what they share; probability: the part of a."""
     return {

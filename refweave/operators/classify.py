@@ -20,7 +20,8 @@ from pyspark.sql.types import DoubleType
 from refweave.operators.graph import components
 
 NOT_WORD = re.compile(r"\W+")
-YEAR = re.compile(r"(1[5-9]\d\d)|(20[0-2]\d)")
+# What counts as a year, and the bounds and weight of the pair classifier.
+YEAR = re.compile(r"1[5-9][0-9]{2}|20(0[0-9]|1[0-9]|2[0-3])")
 MAX_COST, MIN_PRECISION, MAX_TITLE_DIFFERENCE, YEAR_WEIGHT = 0.25, 0.85, 0.5, 250
 
 
@@ -101,9 +102,10 @@ def equivalent(left: dict[str, list[str]], right: dict[str, list[str]]) -> bool:
     return matches > 1 and agreed / max(1, agreed + differed) >= MIN_PRECISION
 
 
-def fields(df: DataFrame, columns: dict[str, list[Column]]) -> Column:
-    """A struct of the values of every field, without sentinels."""
-    kept = lambda cs: F.filter(F.array_compact(F.array(*[c.cast("string") for c in cs])), lambda x: ~F.trim(x).isin("None", ""))
+def fields(df: DataFrame, columns: dict[str, list[Column] | Column]) -> Column:  # noqa: ARG001
+    """A struct of the values of every field, without sentinels; an array column holds the values of its field."""
+    values = lambda cs: F.array(*[c.cast("string") for c in cs]) if isinstance(cs, list) else cs
+    kept = lambda cs: F.filter(F.array_compact(values(cs)), lambda x: ~F.trim(x).isin("None", ""))
     return F.struct(*[kept(cs).alias(name) for name, cs in columns.items()])
 
 

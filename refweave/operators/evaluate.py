@@ -124,3 +124,67 @@ def gini(df: DataFrame, key: str) -> DataFrame:
     ranks = F.col("c") * (2 * F.col("u") - F.col("c") + 1) / 2
     t = h.withColumn("u", upto).agg(F.sum(ranks * F.col("size")).alias("rx"), F.sum(F.col("c") * F.col("size")).alias("x"), F.sum("c").alias("n"))
     return t.select(F.round(2 * F.col("rx") / (F.col("n") * F.col("x")) - (F.col("n") + 1) / F.col("n"), 6).alias("gini"))
+
+
+def negative_class(counts: DataFrame) -> DataFrame:
+    """(precision, recall) of the mentions without duplicates, in truncated percent, from ``core_evaluation``."""
+    return counts.select(truncated_percent(F.col("tn"), F.col("tn") + F.col("fn")).alias("precision"), truncated_percent(F.col("tn"), F.col("tn") + F.col("fp")).alias("recall"))
+
+
+def weighted_gini(df: DataFrame) -> DataFrame:
+    """One row (gini): inequality of x where each counts with a weight, from (x, weight).
+
+    Equal values are added up first; what remains is as small as values are few.
+    """
+    from pyspark.sql import Window
+
+    h = df.where("x is not null and weight is not null").groupBy("x").agg(F.sum("weight").cast("double").alias("w"))
+    before = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = h.select("x", "w", F.sum("w").over(before).alias("w0"), F.sum(F.col("x") * F.col("w")).over(before).alias("xw0"), F.sum("w").over(upto).alias("w1"), F.sum(F.col("x") * F.col("w")).over(upto).alias("xw1"))
+    area = F.sum(F.col("xw1") * F.col("w0") - F.col("xw0") * F.col("w1"))
+    return c.agg((area / (F.max("xw1") * F.max("w1"))).alias("gini")).select(F.round("gini", 6).alias("gini"))
+
+
+def minimal_stats(pairs: DataFrame) -> DataFrame:
+    """(minel, any, multi, single, prob): of the sets over a minimal one, how many lie over others too, from (minel, superset)."""
+    per = pairs.groupBy("superset").agg(F.count("*").alias("k"))
+    many = F.sum((F.col("k") > 1).cast("long"))
+    return pairs.join(per, "superset").groupBy("minel").agg(F.count("*").alias("any"), many.alias("multi"), (F.count("*") - many).alias("single"), F.round(many / F.count("*"), 6).alias("prob"))
+
+
+def pair_samples(rows: DataFrame, per_label: int = 1000, most_equal: int = 10_000, per_pair: int = 10, most_different: int = 10_000) -> DataFrame:
+    """(a, b, equal): pairs of mentions of one label and of two, from (mention, label): a sampling operator.
+
+    The first pairs of each label, and of each pair of labels, in the order of mentions and labels; a label or a pair of
+    labels is taken while those before it have not filled the cap on all, so that the last may go over it.
+    """
+    from pyspark.sql import Window
+
+    rows = rows.where("mention is not null and label is not null").distinct()
+    sizes = cut(rows.groupBy("label").agg(F.count("*").alias("n")))
+    # No label gives less than one pair, so that the first labels fill the cap: a bounded number each.
+    first = sizes.where("n > 1").orderBy("label").limit(most_equal).withColumn("pairs", F.least(F.col("n") * (F.col("n") - 1) / 2, F.lit(per_label)))
+    before = F.coalesce(F.sum("pairs").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = first.withColumn("before", before).where(F.col("before") < most_equal).select("label", "n")
+    # Only the head of a label is ranked: within hashed shares first, so that no task sorts a whole heavy label.
+    share = Window.partitionBy("label", F.pmod(F.xxhash64("mention"), F.lit(64))).orderBy("mention")
+    head = max(per_label + 1, per_pair)
+    few = rows.withColumn("r", F.row_number().over(share)).where(F.col("r") <= head).drop("r")
+    ranked = cut(few.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("mention"))).where(F.col("r") <= head))
+    own = ranked.join(taken, "label")
+    x, y = own.alias("x"), own.alias("y")
+    place = (F.col("x.r") - 1) * F.col("x.n") - (F.col("x.r") - 1) * F.col("x.r") / 2 + (F.col("y.r") - F.col("x.r") - 1)
+    # A pair's place is at least that of the first with its left side, which bounds the left sides.
+    early = x.where((F.col("x.r") - 1) * F.col("x.n") - (F.col("x.r") - 1) * F.col("x.r") / 2 < per_label)
+    equal = early.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.r") < F.col("y.r")) & (place < per_label)).select(F.col("x.mention").alias("a"), F.col("y.mention").alias("b"), F.lit(True).alias("equal"))
+    labels = sizes.orderBy("label").limit(most_different + 1).withColumn("i", F.row_number().over(Window.orderBy("label"))).withColumn("k", F.count("*").over(Window.partitionBy()))
+    p, q = labels.alias("p"), labels.alias("q")
+    left = p.where((F.col("p.i") - 1) * F.col("p.k") - (F.col("p.i") - 1) * F.col("p.i") / 2 < most_different)
+    at = (F.col("p.i") - 1) * F.col("p.k") - (F.col("p.i") - 1) * F.col("p.i") / 2 + (F.col("q.i") - F.col("p.i") - 1)
+    two = left.join(q, (F.col("p.i") < F.col("q.i")) & (at < most_different)).select(at.alias("at"), F.col("p.label").alias("l1"), F.col("q.label").alias("l2"), F.col("q.n").alias("n2"), F.least(F.col("p.n") * F.col("q.n"), F.lit(per_pair)).alias("pairs"))
+    gone = F.coalesce(F.sum("pairs").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    two = two.withColumn("gone", gone).where(F.col("gone") < most_different)
+    u, v = ranked.where(F.col("r") <= per_pair).alias("u"), ranked.where(F.col("r") <= per_pair).alias("v")
+    met = two.join(u, F.col("l1") == F.col("u.label")).join(v, (F.col("l2") == F.col("v.label")) & ((F.col("u.r") - 1) * F.col("n2") + F.col("v.r") - 1 < per_pair))
+    return equal.union(met.select(F.col("u.mention"), F.col("v.mention"), F.lit(False)))

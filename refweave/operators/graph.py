@@ -33,6 +33,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if facts == before:
             break
         before = facts
+    else:
+        raise ValueError("the components are not settled after max_rounds")
     return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -93,7 +95,7 @@ def closure(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after.count() == now.count():
             return after
         now = after
-    return now
+    raise ValueError("the closure is not settled after max_rounds")
 
 
 def reduction(edges: DataFrame) -> DataFrame:

@@ -90,12 +90,63 @@ def language_votes(text: Column, stopwords: dict[str, list[str]]) -> Column:
     return F.when(top["n"] > 0, top["code"]).otherwise("default")
 
 
-def compounds(words: DataFrame, vocabulary: DataFrame, least: int = 4) -> DataFrame:
-    """(word, head, tail): splits of a word into two vocabulary terms, a linking s between them allowed; the longest head wins."""
-    words = words.select("word").distinct().where(F.length("word") >= 2 * least)
-    at = words.select("word", F.explode(F.sequence(F.lit(least), F.length("word") - least)).alias("i"))
-    rest = F.substring("word", F.col("i") + 1, F.length("word"))
-    parts = at.select("word", F.substring("word", F.lit(1), F.col("i")).alias("head"), F.explode(F.array_distinct(F.array(rest, F.regexp_replace(rest, "^s", "")))).alias("tail"))
-    term = lambda s: vocabulary.select(F.col("term").alias(s)).distinct()
-    both = parts.join(term("head"), "head").join(term("tail"), "tail")
-    return both.groupBy("word").agg(F.max_by(F.struct("head", "tail"), F.length("head")).alias("s")).select("word", "s.head", "s.tail")
+def compounds(words: DataFrame, vocabulary: DataFrame, least: int = 4, max_rounds: int = 50) -> DataFrame:
+    """(word, parts): a word as vocabulary terms one after another, a linking s after a part allowed; the longest first part wins.
+
+    A split goes on with what is left of the word until all of it is vocabulary, and a first part counts only where the
+    rest can be split to its end; a rest that is a term isn't split again. A word that can't be split gives no row.
+    """
+    terms = cut(vocabulary.select("term").distinct().where(F.length("term") >= least))
+    # Every way on from a rest: a term at its beginning, and what follows, with and without a linking s.
+    rests = words.select(F.col("word").alias("rest")).distinct()
+    steps = None
+    for _ in range(max_rounds):
+        at = rests.where(F.length("rest") > least).select("rest", F.explode(F.sequence(F.lit(least), F.length("rest") - 1)).alias("i"))
+        heads = at.select("rest", F.substring("rest", F.lit(1), F.col("i")).alias("head"), F.substring("rest", F.col("i") + 1, F.length("rest")).alias("next"))
+        ways = F.explode(F.array_distinct(F.array(F.col("next"), F.regexp_replace("next", "^s(?=.)", ""))))
+        found = cut(heads.join(terms.withColumnRenamed("term", "head"), "head").select("rest", "head", ways.alias("next")).where(F.length("next") >= least))
+        steps = found if steps is None else cut(steps.union(found))
+        rests = cut(found.select(F.col("next").alias("rest")).distinct().join(steps.select("rest"), "rest", "left_anti"))
+        if rests.isEmpty():
+            break
+    else:
+        raise ValueError("a word has more parts than max_rounds")
+    # From the ends back: a rest that is a term is done; others take the longest head whose rest is done.
+    done = terms.select(F.col("term").alias("rest"), F.array("term").alias("parts"))
+    whole = None
+    while True:
+        ready = steps.join(done.withColumnRenamed("rest", "next"), "next").select("rest", F.concat(F.array("head"), "parts").alias("parts"))
+        ready = ready if whole is None else ready.unionByName(whole)
+        better = ready.groupBy("rest").agg(F.max_by("parts", F.struct(F.length(F.col("parts")[0]), (-F.size("parts")).alias("n"), "parts")).alias("parts"))
+        known = cut(better)
+        if whole is not None and known.join(whole, ["rest", "parts"], "left_anti").isEmpty():
+            break
+        whole = known
+        done = terms.select(F.col("term").alias("rest"), F.array("term").alias("parts")).unionByName(known.join(terms.withColumnRenamed("term", "rest"), "rest", "left_anti"))
+    return words.select("word").distinct().join(whole.withColumnRenamed("rest", "word"), "word").select("word", "parts")
+
+
+def separations(df: DataFrame, text: str, counts: DataFrame, floor: float = 0.01) -> DataFrame:
+    """Rows with ``corrected``: words put together where their ends are hardly ever parted.
+
+    counts: those of ``context_counts`` over the corpus, with as many characters as its contexts have. The chance of a
+    gap is that of its left and right side among gaps, over that and the chance of the same characters inside a word; two
+    words are one where it is less than ``floor``.
+    """
+    n = int(counts.agg(F.max(F.length("h"))).first()[0] or 1)
+    apart, within = counts.where("across"), counts.where("not across")
+    left = apart.groupBy("h").agg(F.sum("n").alias("f_left"))
+    right = apart.groupBy("w").agg(F.sum("n").alias("f_right"))
+    s1, s2 = within.agg(F.sum("n")).first()[0] or 1, apart.agg(F.sum("n")).first()[0] or 1
+    inside = within.select("h", "w", (F.col("n") / s1).alias("together"))
+    both = apart.select("h", "w").join(left, "h").join(right, "w").join(inside, ["h", "w"], "left")
+    chance = F.col("f_left") / s2 * (F.col("f_right") / s2)
+    glued = cut(both.where(chance / (chance + F.coalesce("together", F.lit(0.0))) < floor).select("h", "w", F.lit(True).alias("glued")))
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda t: F.length(t) > 0)
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    each = rows.select("*", F.posexplode_outer(words).alias("_at", "_word")).withColumn("_before", F.get(words, F.col("_at") - 1))
+    last = lambda c: F.substring(F.lower(c), F.greatest(F.lit(1), F.length(c) - (n - 1)), F.lit(n))
+    joined = each.withColumns({"h": last(F.col("_before")), "w": F.substring(F.lower("_word"), 1, n)}).join(glued, ["h", "w"], "left")
+    piece = F.struct("_at", F.when(F.col("_at").isNull() | (F.col("_at") == 0) | F.col("glued"), F.coalesce("_word", F.lit(""))).otherwise(F.concat(F.lit(" "), "_word")).alias("t"))
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), "")
+    return joined.groupBy("_row", *df.columns).agg(text_of.alias("corrected")).select(*df.columns, F.when(F.col(text).isNotNull(), F.col("corrected")).alias("corrected"))

@@ -59,13 +59,13 @@ def level_of_generalization(edges: DataFrame, starts: DataFrame, max_level: int
     """
     reached = cut(starts.select("start", "rep", F.lit(0).alias("level")))
     frontier = reached
-    for level in range(1, max_level):
+    for level in range(1, max_level + 1):
         down = frontier.join(edges.withColumnRenamed("sup", "rep"), "rep").select("start", F.col("sub").alias("rep")).distinct()
         frontier = cut(down.join(reached, ["start", "rep"], "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
-            break
+            return reached
         reached = reached.union(frontier)
-    return reached
+    raise ValueError("a chain of sets is longer than max_level")
 
 
 def agglomerated(nodes: DataFrame, edges: DataFrame, stop: float = 0.5, discount: float = 0.0) -> DataFrame:
@@ -117,3 +117,41 @@ def licensed(features: Column, needs: dict[str, list[str]], bars: dict[str, list
         for o in others:
             ok &= ~(F.array_contains(features, t) & F.array_contains(features, o))
     return ok
+
+
+def expanded(sets: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(fs, obs, car): every non-empty part of the sets (fs, obs), by leaving out one feature at a time.
+
+    obs: the count of the set itself, 0 where it was never seen; car: the counts of all sets that it is part of, each
+    once, itself included.
+    """
+    sets = cut(sets.select(F.array_sort(F.array_distinct("fs")).alias("fs"), "obs").where("size(fs) > 0").groupBy("fs").agg(F.sum("obs").alias("obs")))
+    reached = now = sets.select(F.col("fs").alias("whole"), "fs")
+    for _ in range(max_rounds):
+        drop_one = F.explode(F.transform("fs", lambda x: F.array_remove("fs", x)))
+        now = cut(now.where("size(fs) > 1").select("whole", drop_one.alias("fs")).distinct())
+        if now.isEmpty():
+            break
+        reached = reached.union(now)
+    else:
+        raise ValueError("a set has more features than max_rounds")
+    car = reached.join(sets.withColumnRenamed("fs", "whole"), "whole").groupBy("fs").agg(F.sum("obs").alias("car"))
+    return car.join(sets, "fs", "left").select("fs", F.coalesce("obs", F.lit(0)).alias("obs"), "car")
+
+
+def discounted(nodes: DataFrame, edges: DataFrame, part: float) -> DataFrame:
+    """(rep, obs): a part of every count handed on along the edges (sub, sup) and to the set itself.
+
+    nodes: (rep, obs, car). An edge weighs the count carried by its special over that carried by its general set, a set's
+    own share its observed over its carried count; what a set gives is divided by these weights.
+    """
+    nodes = cut(nodes.select("rep", F.col("obs").cast("double").alias("obs"), F.col("car").cast("double").alias("car")))
+    side = lambda end, car: nodes.select(F.col("rep").alias(end), F.col("car").alias(car))
+    up = edges.select("sub", "sup").distinct().join(side("sub", "below"), "sub").join(side("sup", "above"), "sup").where("below > 0")
+    weights = up.select("sub", "sup", (F.col("above") / F.col("below")).alias("w")).union(nodes.where("car > 0").select("rep", F.col("rep"), F.col("obs") / F.col("car")))
+    weights = cut(weights.where("w > 0"))
+    whole = weights.groupBy("sub").agg(F.sum("w").alias("whole"))
+    given = weights.join(whole, "sub").join(nodes.select(F.col("rep").alias("sub"), "obs"), "sub")
+    gain = given.groupBy(F.col("sup").alias("rep")).agg(F.sum(F.col("obs") * part * F.col("w") / F.col("whole")).alias("gain"))
+    gives = nodes.join(whole.select(F.col("sub").alias("rep"), F.lit(True).alias("gives")), "rep", "left").join(gain, "rep", "left")
+    return gives.select("rep", (F.when(F.col("gives"), F.col("obs") * (1 - part)).otherwise(F.col("obs")) + F.coalesce("gain", F.lit(0.0))).alias("obs"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +28,14 @@ def shared_features(features: DataFrame) -> DataFrame:
     return x.join(y, same).groupBy(F.col("x.grp").alias("grp"), F.col("x.rec").alias("a"), F.col("y.rec").alias("b"), F.col("x.ftype").alias("ftype")).agg(F.count("*").alias("shared"))
 
 
-def type_similarities(features: DataFrame, kind: str = "jaccard") -> DataFrame:
-    """(grp, a, b, ftype, sim) for the pairs and types that share a feature."""
+def type_similarities(features: DataFrame, kind: str | tuple[str, ...] = "jaccard") -> DataFrame:
+    """(grp, a, b, ftype, sim) for the pairs and types that share a feature; of several kinds a column each, from one join."""
     features = cut(features.select("grp", "rec", "ftype", "value").distinct())
     sizes = features.groupBy("grp", "rec", "ftype").agg(F.count("*").alias("n"))
     side = lambda s: sizes.select("grp", F.col("rec").alias(s), "ftype", F.col("n").alias(f"n{s}"))
     pairs = shared_features(features).join(side("a"), ["grp", "a", "ftype"]).join(side("b"), ["grp", "b", "ftype"])
-    return pairs.select("grp", "a", "b", "ftype", similarity(kind, F.col("shared"), F.col("na"), F.col("nb")).alias("sim"))
+    of = lambda k, name: similarity(k, F.col("shared"), F.col("na"), F.col("nb")).alias(name)
+    return pairs.select("grp", "a", "b", "ftype", *([of(kind, "sim")] if isinstance(kind, str) else [of(k, k) for k in kind]))
 
 
 def pair_scores(features: DataFrame, weights: dict[str, float] = WEIGHTS, bias: float = BIAS, kind: str = "jaccard") -> DataFrame:
@@ -59,25 +64,84 @@ def simhash(features: DataFrame) -> DataFrame:
     return features.select("rec", "f").distinct().withColumn("h", F.md5(F.col("f").cast("binary"))).groupBy("rec").agg(*bits)
 
 
-def hamming(left: str, right: str) -> Column:
-    """Bits in which two fingerprints of eight bytes differ."""
-    return sum((F.bit_count(F.col(f"{left}.b{i}").bitwiseXOR(F.col(f"{right}.b{i}"))) for i in range(8)), F.lit(0))
-
-
-def hamming_pairs(prints: DataFrame, k: int = 7) -> DataFrame:
-    """(a, b, distance): fingerprints at most k < 8 bits apart. By the pigeonhole one of the eight bytes is equal.
+def hamming_pairs(prints: DataFrame, k: int = 7, blocks: int = 9) -> DataFrame:
+    """(a, b, distance): fingerprints at most k bits apart, in blocks of bits of which two more than k are cut.
 
-    Equal fingerprints meet once, as one; their records are linked to the smallest.
+    By the pigeonhole at least two blocks are equal. Fingerprints meet on each pair of blocks, of about 14 bits together
+    for 9 blocks, and a pair is kept at the first two blocks on which it agrees. Equal fingerprints meet once, as one;
+    their records are linked to the smallest.
     """
+    if blocks < k + 2:
+        raise ValueError("two blocks must stay equal")
     sig = [f"b{i}" for i in range(8)]
     classes = cut(prints.groupBy(*sig).agg(F.min("rec").alias("rec")))
-    blocks = classes.select("*", F.posexplode(F.array(*sig)).alias("pos", "byte"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    # A pair is kept at the first byte on which it agrees.
-    first = F.lit(True)
-    for i in range(8):
-        first &= (F.col("x.pos") <= i) | (F.col(f"x.b{i}") != F.col(f"y.b{i}"))
-    near = x.join(y, (F.col("x.pos") == F.col("y.pos")) & (F.col("x.byte") == F.col("y.byte")) & (F.col("x.rec") < F.col("y.rec")) & first)
-    apart = near.withColumn("distance", hamming("x", "y")).where(F.col("distance") <= k).select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b"), "distance")
+    whole = sum((F.shiftleft(F.col(f"b{i}").cast("long"), 8 * i) for i in range(8)), F.lit(0).cast("long"))
+    ends = [round(64 * i / blocks) for i in range(blocks + 1)]
+    part = lambda i: F.shiftrightunsigned("bits", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1)).cast("int")
+    cut_up = classes.select("rec", whole.alias("bits")).select("rec", "bits", *[part(i).alias(f"k{i}") for i in range(blocks)])
+    two = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"k{i}").alias("ki"), F.col(f"k{j}").alias("kj")) for j in range(blocks) for i in range(j)]
+    keyed = cut_up.select("*", F.explode(F.array(*two)).alias("at")).select("*", "at.*").drop("at")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    earlier = sum((((F.col("x.j") > p) & (F.col(f"x.k{p}") == F.col(f"y.k{p}"))).cast("int") for p in range(blocks)), F.lit(0))
+    away = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.ki") == F.col("y.ki")) & (F.col("x.kj") == F.col("y.kj"))
+    near = x.join(y, same & (F.col("x.rec") < F.col("y.rec")) & (away <= k) & (earlier == 1))
+    apart = near.select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b"), away.alias("distance"))
     equal = prints.join(classes.withColumnRenamed("rec", "a"), sig).where("a < rec").select("a", F.col("rec").alias("b"), F.lit(0).alias("distance"))
     return apart.union(equal)
+
+
+def smoothing(features: DataFrame, least: float = 0.5) -> DataFrame:
+    """(f, g, weight): how much of feature f stands for g by the records (rec, f) that have both.
+
+    Each record with both gives 1 over its number of features and over the frequency of g; a row is scaled by its own
+    diagonal, and what stays under ``least`` is left out. A record gives the square of its few features.
+    """
+    features = cut(features.select("rec", "f").distinct())
+    size = features.groupBy("rec").agg(F.count("*").alias("size"))
+    freq = features.groupBy("f").agg(F.count("*").alias("freq"))
+    sized = features.join(size, "rec")
+    both = sized.join(features.withColumnRenamed("f", "g"), "rec").groupBy("f", "g").agg(F.sum(1 / F.col("size")).alias("met"))
+    ff = cut(both.join(freq.withColumnRenamed("f", "g"), "g").select("f", "g", (F.col("met") / F.col("freq")).alias("weight")))
+    own = ff.where("f = g").select("f", F.col("weight").alias("own"))
+    return ff.join(own, "f").select("f", "g", (F.col("weight") / F.col("own")).alias("weight")).where(F.col("weight") >= least)
+
+
+def dbscan(pairs: DataFrame, nodes: DataFrame, eps: float, least: int = 3) -> DataFrame:
+    """(rec, cluster) by density: pairs (a, b, sim) at a distance 1 - sim^2 of eps or less are neighbours.
+
+    A record with ``least`` neighbours, itself counted, is a core; linked cores are one cluster, named by the smallest;
+    a neighbour of a core belongs to the smallest of their clusters; all others have null.
+    """
+    near = cut(pairs.where(1 - F.col("sim") * F.col("sim") <= eps).select("a", "b"))
+    both = cut(near.union(near.select("b", "a")).distinct())
+    core = cut(both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select("a"))
+    linked = both.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b")
+    alone = core.select("a", F.col("a").alias("b"))
+    groups = cut(components(linked.union(alone)))
+    beside = both.join(groups.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("rec")).agg(F.min("component").alias("beside"))
+    return nodes.select("rec").distinct().join(groups.withColumnRenamed("node", "rec"), "rec", "left").join(beside, "rec", "left").select("rec", F.coalesce("component", "beside").alias("cluster"))
+
+
+def fnv1a(texts: list[str]) -> np.ndarray:
+    """64-bit FNV-1a over the UTF-8 bytes of each text, all texts a byte at a time."""
+    data = [t.encode() for t in texts]
+    # Offset and prime of the hash.
+    out, prime = np.full(len(data), 0xCBF29CE484222325, np.uint64), np.uint64(0x100000001B3)
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    start = np.cumsum(size) - size
+    for k in range(int(size.max()) if len(size) else 0):
+        at = np.flatnonzero(size > k)
+        out[at] = (out[at] ^ flat[start[at] + k].astype(np.uint64)) * prime
+    return out
+
+
+def hashed_words(words: DataFrame) -> DataFrame:
+    """(word, hash): the hash of each word (word) as hexadecimal digits."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"word": p["word"], "hash": [f"{x:016x}" for x in fnv1a(p["word"].tolist()).tolist()]})
+
+    return words.mapInPandas(run, "word string, hash string")

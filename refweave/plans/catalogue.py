@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refweave.plans import linkage, models, more, scalars, skew
+from refweave.plans import completion, linkage, models, more, scalars, skew
 
-MODULES = (skew, scalars, linkage, models, more)
+MODULES = (skew, scalars, linkage, models, more, completion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,8 +32,7 @@ def jn1_label_lookup(spark, sf_dir):
 
 def jn2_canonical_lookup(spark, sf_dir):
     """Rows with the duplicate group that lists them."""
-    groups = _t(spark, sf_dir, "dupmembers").groupBy("duplicateid").agg(F.collect_set("refid").alias("ids"))
-    return _t(spark, sf_dir, "refmetas").select("refid").join(groups.select("duplicateid", F.explode("ids").alias("refid")), "refid", "left")
+    return _t(spark, sf_dir, "refmetas").select("refid").join(_t(spark, sf_dir, "dupmembers").distinct(), "refid", "left").select("refid", "duplicateid")
 
 
 def jn3_chain(spark, sf_dir):
@@ -55,10 +54,11 @@ def jn12_semi(spark, sf_dir):
 
 
 def jn13_not_in(spark, sf_dir):
-    """Null-aware: empty as soon as the list holds a null."""
+    """Null-aware: labels of mentions that no component has, by list; nothing is sure of the list that holds a null."""
     for name in ("components", "mentions"):
         _t(spark, sf_dir, name).createOrReplaceTempView(f"refweave_{name}")
-    return spark.sql("select distinct label from refweave_mentions where label not in (select label from refweave_components where label > 100 and label is not null)")
+    outside = "select distinct label from refweave_mentions where label not in (select label from refweave_components{})"
+    return spark.sql(f"select 'filled' as list, label from ({outside.format(' where label is not null')}) union all select 'with null', label from ({outside.format('')})")
 
 
 def jn14_anti(spark, sf_dir):
@@ -201,7 +201,7 @@ def _rep_features(spark, sf_dir) -> DataFrame:
 
 
 def jn7_containment(spark, sf_dir):
-    return G.contained(_rep_features(spark, sf_dir)).groupBy("small", "large").agg(F.count("*").alias("n_pairs"), F.countDistinct("sub").alias("n_subs"))
+    return G.contained(_rep_features(spark, sf_dir))
 
 
 def gr19_minimal(spark, sf_dir):
@@ -230,8 +230,7 @@ def ag10_minimal_multiplicity(spark, sf_dir):
 
 
 def gr13_poset_blocks(spark, sf_dir):
-    blocks = G.poset_blocks(cut(_rep_features(spark, sf_dir)))
-    return blocks.groupBy("block").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("blocks"))
+    return G.poset_blocks(cut(_rep_features(spark, sf_dir)))
 
 
 def gr14_single_feature_blocks(spark, sf_dir):
@@ -286,18 +285,13 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def gr2_type_similarities(spark, sf_dir):
-    sims = S.type_similarities(_features(_grouped(spark, sf_dir)))
-    return sims.groupBy("ftype").agg(F.count("*").alias("pairs"), F.round(F.avg("sim"), 5).alias("mean_sim"))
+    return S.type_similarities(_features(_grouped(spark, sf_dir))).select("a", "b", "ftype", F.round("sim", 6).alias("sim"))
 
 
 def gr3_similarity_kinds(spark, sf_dir):
     """Dice, overlap and cosine of the titles of every pair of a block."""
-    f = cut(_features(_grouped(spark, sf_dir)).where("ftype = 'title'"))
-    out = None
-    for kind in ("dice", "overlap", "cosine"):
-        one = S.type_similarities(f, kind).select("a", "b", F.round("sim", 6).alias(kind))
-        out = one if out is None else out.join(one, ["a", "b"])
-    return out
+    f = _features(_grouped(spark, sf_dir)).where("ftype = 'title'")
+    return S.type_similarities(f, ("dice", "overlap", "cosine")).select("a", "b", *[F.round(kind, 6).alias(kind) for kind in ("dice", "overlap", "cosine")])
 
 
 def gr5_pair_scores(spark, sf_dir):
@@ -321,7 +315,7 @@ def gr31_threshold_sweep(spark, sf_dir):
 
 def _title_words(spark, sf_dir) -> DataFrame:
     """(rec, f): words of every distinct title, under its smallest row."""
-    titles = _t(spark, sf_dir, "refmetas").where("length(title) > 15").groupBy("title").agg(F.min("refid").alias("rec"))
+    titles = _t(spark, sf_dir, "refmetas").where("title is not null").groupBy("title").agg(F.min("refid").alias("rec"))
     return titles.select("rec", F.explode(F.array_distinct(T.words(F.col("title")))).alias("f"))
 
 
@@ -441,7 +435,7 @@ def _sql_hash_bits() -> str:
 
 
 _WORDSQL = "regexp_extract_all(lower(title), '" + T.WORD + "')"
-_PRINTS = f"""t as (select title, min(refid) as rec from refmetas where length(title) > 15 group by title),
+_PRINTS = f"""t as (select title, min(refid) as rec from refmetas where title is not null group by title),
     w as (select distinct rec, unnest({_WORDSQL}) as f from t), p as materialized (select rec, {_sql_hash_bits()} from (select rec, md5(f) as h from w) group by rec)"""
 _DIST = " + ".join(f"bit_count(xor(x.b{i}, y.b{i}))" for i in range(8))
 _HAM = f"h as materialized (select x.rec as a, y.rec as b, {_DIST} as distance from p x join p y on x.rec < y.rec and {_DIST} <= 7)"
@@ -470,7 +464,7 @@ SQL = {
     "jn3_chain": "with m as (select distinct lower(trim(repid, ' ')) as repid, originalid, label from mentions where repid is not null) select m.label, count(distinct repid) as reps, count(distinct frompipeline) as pipelines, count(*) as n from m join (select distinct label from components where label is not null) c using (label) join refmetas r on r.linkid = m.originalid group by m.label",
     "jn4_target_types": "select pipeline, trust, count(*) as n, count(crossrefid) as with_crossref from refmetas join pipelines on frompipeline = pipeline group by 1, 2",
     "jn12_semi": "select refid from refmetas where refid in (select refid from dupmembers)",
-    "jn13_not_in": "select distinct label from mentions where label not in (select label from components where label > 100 and label is not null)",
+    "jn13_not_in": "select 'filled' as list, label from (select distinct label from mentions where label not in (select label from components where label is not null)) union all select 'with null', label from (select distinct label from mentions where label not in (select label from components))",
     "jn14_anti": "select distinct originalid as linkid from mentions m where not exists (select 1 from refmetas r where r.linkid = m.originalid)",
     "st1_union": "select label from components union select label from mentions",
     "st3_except_intersect": "(select label from components except select label from mentions where goldid is not null) intersect select label from mentions where runno = 1",
@@ -499,7 +493,8 @@ SQL = {
     "ag20_gini": f"with s as ({_GROUP_SIZES('components', 'label')}), o as (select size, row_number() over (order by size) as k, count(*) over () as n from s) select round(2 * sum(k * size) / (any_value(n) * sum(size)) - (any_value(n) + 1) / any_value(n), 6) as gini from o",
     "ag23_document_flags": "with r as (select distinct linkid, regexp_extract(linkid, '_(doc[0-9]+)_ref_', 1) as doc from refmetas), m as (select distinct originalid, label from mentions where label is not null) select doc, count(distinct label) as num_labels, count(distinct label) > 0 as has_labels from r left join m on originalid = linkid where doc <> '' group by doc",
     "ag24_merged_references": "select regexp_extract(linkid, '_(doc[0-9]+)_ref_([0-9]+)$', 1) as doc, duplicateid, min(try_cast(regexp_extract(linkid, '_(doc[0-9]+)_ref_([0-9]+)$', 2) as integer)) as first_pos from refmetas join (select distinct * from dupmembers) using (refid) where regexp_extract(linkid, '_(doc[0-9]+)_ref_([0-9]+)$', 1) <> '' group by 1, 2",
-    "jn7_containment": f"with {_REPF} select small, large, count(*) as n_pairs, count(distinct sub) as n_subs from cont group by 1, 2",
+    "jn7_containment": f"with {_REPF} select sub, sup, small, large from cont",
+    "gr13_poset_blocks": f"with recursive {_REPF}, mp as materialized (select sub, sup from cont where sub not in (select sup from cont)), ed as materialized (select sub as x, sup as y from mp union select sup, sub from mp), cc(node, comp) using key (node) as (select rep, rep from sizes union (select distinct on (u.node) u.node, v.comp from recurring.cc as u, ed, cc as v where ed.x = u.node and ed.y = v.node and v.comp < u.comp order by u.node, v.comp)) select node as rep, comp as block from cc",
     "gr19_minimal": f"with {_REPF} select rep from sizes where rep not in (select sup from cont)",
     "gr18_hasse": f"with {_REPF} select sub, sup from cont c where not exists (select 1 from cont x join cont y on x.sup = y.sub where x.sub = c.sub and y.sup = c.sup)",
     "gr20_observed_carried": f"with {_REPF} select rep, n as obs, n + coalesce((select sum(b.n) from cont join sizes b on b.rep = sup where sub = s.rep), 0) as car from sizes s",
@@ -509,7 +504,7 @@ SQL = {
     "gr10_gold_components": "with recursive ids as (" + " union all ".join(f"select refid, '{t}:' || {t} as target from refmetas where {t} is not null" for t in TARGETS) + "), edges as (select refid as a, min(refid) over (partition by target) as b from ids), " + _sql_components("edges"),
     "gr16_apply_components": f"select distinct mention, coalesce(cast(label as varchar), 's_' || coalesce(rep, cast(mention as varchar))) as label from {_EV}",
     "gr26_heaviest_parent": "select repidindex_a as child, repidindex_b as parent, score as weight from repmatches where score is not null and repidindex_a <> repidindex_b qualify row_number() over (partition by repidindex_a order by score desc, repidindex_b) = 1",
-    "gr2_type_similarities": f"with {_sql_features()} select ftype, count(*) as pairs, round(avg(i / (na + nb - i)), 5) as mean_sim from s group by ftype",
+    "gr2_type_similarities": f"with {_sql_features()} select a, b, ftype, round(i / (na + nb - i), 6) as sim from s",
     "gr3_similarity_kinds": f"with {_sql_features()} select a, b, round(2 * i / (na + nb), 6) as dice, round(i / least(na, nb), 6) as overlap, round(i / sqrt(na * nb), 6) as cosine from s where ftype = 'title'",
     "gr5_pair_scores": f"with {_sql_features()} select a, b, round({_SCORE}, 6) as score from s group by grp, a, b",
     "gr5_logistic_clusters": f"with recursive {_sql_features()}, edges as materialized (select a, b from (select a, b, {_SCORE} as score from s group by grp, a, b) where score > {S.THRESHOLD} union select rec, rec from f), " + _sql_components("edges", "rec", "cluster"),

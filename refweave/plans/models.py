@@ -11,7 +11,7 @@ from refweave.operators import graph as G
 from refweave.operators import language as L
 from refweave.operators import lattice as A
 from refweave.operators import train as M
-from refweave.plans.linkage import _REPF, _features, _grouped, _rep_features, _sql_ngrams
+from refweave.plans.linkage import _REPF, _features, _grouped, _rep_features, _sql_features, _sql_ngrams
 from refweave.sources import files as S
 from refweave.sources.tables import cut, table
 from refweave.streaming.incremental import label_batch
@@ -25,7 +25,8 @@ def _block_pairs(spark, sf_dir) -> DataFrame:
     """Pairs of rows of one cluster with what the classifier compares."""
     cluster = table(spark, sf_dir, "dupmembers").select("refid", T.strip_last_part(F.col("duplicateid")).alias("grp")).distinct()
     rows = table(spark, sf_dir, "refmetas").join(cluster, "refid")
-    names = [F.col(f"a{i}sur") for i in range(1, 5)]
+    # Parts of names, pooled over all authors: the assignment is between parts.
+    names = F.flatten(F.transform(F.array_compact(F.array(*[F.col(f"a{i}sur") for i in range(1, 5)])), lambda n: F.split(n, r"[^\p{L}\p{N}_]+")))
     kept = cut(rows.select("grp", "refid", "crossrefid", "openalexid", "title", "year", "a1sur", K.fields(rows, {"title": [F.col("title")], "year": [F.col("year")], "authors": names, "source": [F.col("source")], "volume": [F.col("volume")], "issue": [F.col("issue")]}).alias("f")))
     x, y = kept.alias("x"), kept.alias("y")
     return x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.refid") < F.col("y.refid")))
@@ -87,7 +88,7 @@ def sc10_language_votes(spark, sf_dir):
 
 def sc11_compounds(spark, sf_dir):
     rare, known = _vocabulary(spark, sf_dir)
-    return L.compounds(rare.union(known.select("term")), known)
+    return L.compounds(rare.union(known.select("term")), known).select("word", F.array_join("parts", " ").alias("parts"))
 
 
 def _bundles(spark, sf_dir) -> DataFrame:
@@ -124,7 +125,7 @@ def gr25_generalization_levels(spark, sf_dir):
     features = cut(_rep_features(spark, sf_dir))
     covers = cut(G.hasse(cut(G.contained(features))))
     starts = features.select(F.col("rep").alias("start"), "rep").distinct()
-    return A.level_of_generalization(covers, starts).groupBy("level").agg(F.count("*").alias("n"))
+    return A.level_of_generalization(covers, starts)
 
 
 def prj19_licensed(spark, sf_dir):
@@ -156,10 +157,10 @@ def snk6_dot(spark, sf_dir):
 
 
 def snk7_edge_properties(spark, sf_dir):
-    m = table(spark, sf_dir, "repmatches").where("repidindex_a is not null and repidindex_b is not null").groupBy("repidindex_a", "repidindex_b").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    m = table(spark, sf_dir, "repmatches").where("repidindex_a is not null and repidindex_b is not null").groupBy("repidindex_a", "repidindex_b").agg(F.max(F.round(F.col("score") * 1e6).cast("long")).alias("score_in_millionths"), F.count("*").alias("n"))
     nodes = m.select(F.col("repidindex_a").alias("node")).distinct().withColumn("kind", F.lit("representation"))
     _, props, _ = S.property_graph(nodes, m, "node", "repidindex_a", "repidindex_b")
-    return props.groupBy("prop", "type").agg(F.count("*").alias("n"))
+    return props
 
 
 def incremental_labels(spark, sf_dir):
@@ -187,7 +188,15 @@ def _overlap(c: str) -> str:
 
 _VOTES = {c: "len([w for w in regexp_split_to_array(lower(title), '[^\\p{L}]+') if w in (" + ", ".join(f"'{x}'" for x in s) + ")])" for c, s in sorted(LANGUAGES.items())}
 
+_HASSE = "has as materialized (select sub, sup from cont c where not exists (select 1 from cont x join cont y on x.sup = y.sub where x.sub = c.sub and y.sup = c.sup))"
+_TYPE = lambda t: f"max(f) filter (f like '{t}:%') as {t}"
+
 SQL = {
+    "gr17_levels": f"with recursive {_REPF}, w as (select rep as node, 0 as level from sizes where rep in (select sub from cont union select sup from cont) union select sup, level + 1 from w join cont on sub = node) select node, max(level) as level from w group by node",
+    "gr25_generalization_levels": f"with recursive {_REPF}, {_HASSE}, w as (select rep as start, rep, 0 as level from sizes union select start, sub, level + 1 from w join has on sup = rep) select start, rep, min(level) as level from w group by start, rep",
+    "gr11_generalize": f"with {_REPF}, r as (select rep, {_TYPE('a')}, {_TYPE('s')}, {_TYPE('y')} from feats group by rep), g as (select rep, a || '|' || y as form from r where s is not null union all select rep, a || '|' || s from r where y is not null union all select rep, s || '|' || y from r where a is not null union all select rep, a from r where s is null and y is not null union all select rep, s from r where a is null and y is not null) select form, count(distinct rep) as reps from g where form is not null group by form",
+    "gr30_training_vectors": f"with {_sql_features()}, v as (select a, b, " + ", ".join(f"round(coalesce(max(case when ftype = '{t}' then i / (na + nb - i) end), 0), 6) as {t}" for t in M.TYPES) + " from s group by a, b), d as (select distinct refid, duplicateid from dupmembers) select v.*, cast(x.duplicateid = y.duplicateid as double) as label from v join d x on x.refid = a join d y on y.refid = b",
+    "snk7_edge_properties": "with m as (select repidindex_a as a, repidindex_b as b, max(cast(round(score * 1e6) as bigint)) as s, count(*) as n from repmatches where repidindex_a is not null and repidindex_b is not null group by 1, 2), e as (select sha1(a || '|' || b) as edge, s, n from m) select edge, 'score_in_millionths' as prop, cast(s as varchar) as value, 'bigint' as type from e where s is not null union all select edge, 'n', cast(n as varchar), 'bigint' from e",
     "gr9_simple_rule": f"with {_PAIRS} select x.refid as a, y.refid as b from m x join m y on x.grp = y.grp and x.refid < y.refid where coalesce(abs(x.year - y.year) <= 1, true) and coalesce({_overlap('title')} >= 0.75, false) and coalesce({_overlap('a1sur')} >= 0.5, true)",
     "ag22_whitespace_counts": f"with {_CTX} select across, h, w, n from cnt",
     "sc34_merge_scores": f"""with {_CTX}, hh as (select across, h, sum(n) as f, count(*) as d from cnt group by all), ww as (select across, w, count(*) as d from cnt group by all), aa as (select across, count(*) as k from cnt group by all),
@@ -196,7 +205,7 @@ SQL = {
     "sc8_corrections": _WORDS + ", l as (select word, term, freq, levenshtein(translate(word, 'äöüß', '1234'), translate(term, 'äöüß', '1234')) as d from rare, known where abs(length(word) - length(term)) <= 2), c as (select * from l where d <= least(2, floor(length(word) * 0.2)) and floor(length(word) * 0.2) >= 1), b as (select word, term from c qualify row_number() over (partition by word order by d, freq desc, term) = 1) select rare.word, coalesce(term, rare.word) as correction from rare left join b using (word)",
     "sc9_known_words": _WORDS + f" select word, freq >= {FREQUENT} as is_word from w where length(word) > 2",
     "sc10_language_votes": "select refid, case when title is null then 'default' else coalesce((list_sort([x for x in [" + ", ".join(f"{{'n': {v}, 'code': '{c}'}}" for c, v in _VOTES.items()) + "] if x.n > 0], 'DESC'))[1].code, 'default') end as language from refmetas",
-    "sc11_compounds": _WORDS + ", p as (select word, left(word, i) as head, substr(word, i + 1) as rest from (select word, unnest(range(4, length(word) - 3)) as i from w where length(word) >= 8)), q as (select word, head, unnest(list_distinct([rest, regexp_replace(rest, '^s', '')])) as tail from p) select word, head, tail from q where head in (select term from known) and tail in (select term from known) qualify row_number() over (partition by word order by length(head) desc) = 1",
+    "sc11_compounds": _WORDS.replace("with ", "with recursive ", 1) + ", s as (select word, []::varchar[] as parts, word as rest from w where length(word) >= 8 union select word, list_append(parts, head), unnest(list_distinct([next, regexp_replace(next, '^s(.)', '\1')])) from (select word, parts, left(rest, i) as head, substr(rest, i + 1) as next from (select word, parts, rest, unnest(range(4, length(rest))) as i from s where parts = [] or rest not in (select term from known))) where head in (select term from known) and length(next) >= 3), d as (select word, list_append(parts, rest) as parts from s where parts <> [] and length(rest) >= 4 and rest in (select term from known)) select word, array_to_string(parts, ' ') as parts from d qualify row_number() over (partition by word order by length(parts[1]) desc, len(parts), parts desc) = 1",
     "gr17_reduction": f"with {_REPF} select sub, sup from cont c where not exists (select 1 from cont x join cont y on x.sup = y.sub where x.sub = c.sub and y.sup = c.sup)",
     "prj19_licensed": "select refid from refmetas where (title is not null)::int + (source is not null)::int + (a1sur is not null)::int + (year is not null)::int >= 2 and (source is null or title is not null)",
     "snk4_upsert": "select lower(trim(repid, ' ')) as repid, sum(freq) as freq from mentions where repid is not null and runno in (1, 2) group by 1",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.functions import text as T
+from refweave.operators.similarity import BIAS, WEIGHTS
 from refweave.sources.tables import table
 
 NEXT_YEAR = 2027
@@ -87,7 +88,7 @@ def ag2_representations(spark, sf_dir):
 
 
 def sc27_logistic(spark, sf_dir):
-    return table(spark, sf_dir, "repmatches").select("matchid", F.round(T.logistic(F.lit(-5.55875478) + 7.3914298 * F.col("score")), 6).alias("p"))
+    return table(spark, sf_dir, "repmatches").select("matchid", F.round(T.logistic(F.lit(BIAS) + WEIGHTS["title"] * F.col("score")), 6).alias("p"))
 
 
 def sc28_set_similarities(spark, sf_dir):
@@ -267,7 +268,7 @@ SQL = {
     "sc17_bundle": f"select refid, s[1] as s1, s[2] as s2, s[3] as s3, s[4] as s4 from (select refid, {_B(SLOTS['surname'])} as s from refmetas)",
     "sc18_representation_id": f"select refid, {_sql_repid()} as repid from refmetas",
     "ag2_representations": f"select {_sql_repid()} as repid, count(*) as freq, min(refid) as first_refid from refmetas group by 1",
-    "sc27_logistic": "select matchid, round(1 / (1 + exp(-(-5.55875478 + 7.3914298 * score))), 6) as p from repmatches",
+    "sc27_logistic": f"select matchid, round(1 / (1 + exp(-({BIAS} + {WEIGHTS['title']} * score))), 6) as p from repmatches",
     "sc28_set_similarities": f"with w as (select refid, list_distinct({_WORDS.format('title')}) as a, list_distinct({_WORDS.format('refstring')}) as b from refmetas), n as (select refid, len(a) as na, len(b) as nb, len(list_intersect(a, b)) as i from w) select refid, {_SIMS} from n where na > 0 and nb > 0",
     "sc29_threshold_curve": "select matchid, round(1.0 / (1 + exp(-5.0 * score) * 9.0), 6) as threshold from repmatches",
     "sc30_representation_text": f"select refid, 'init: {{' || {_SHOWN(SLOTS['init'])} || '}} surname: {{' || {_SHOWN(SLOTS['surname'])} || '}}' as shown from refmetas",

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +31,46 @@ def read_disjunctions(text: str) -> list[list[str]]:
     return [line.split() for line in text.splitlines() if line.split()]
 
 
+def read_constraints(text: str) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """What feature types need and what they bar, from lines ``type sign other``; the sign - bars."""
+    needs: dict[str, list[str]] = {}
+    bars: dict[str, list[str]] = {}
+    for own, sign, other in (line.split() for line in text.splitlines() if line.strip()):
+        (bars if sign == "-" else needs).setdefault(own, []).append(other)
+    return needs, bars
+
+
+def nested_pairs(df: DataFrame, key: str) -> DataFrame:
+    """(key, attr, value): every filled value of nested rows as text.
+
+    A field of a struct goes by the names on its way, joined by underscores; a plain field bears an underscore in front;
+    a list gives one pair an element, a list of structs one a field, under the list's name and the field's.
+    """
+    parts = []
+
+    def fields(value: Column, name: str, own: str) -> Column:
+        return F.transform(value, lambda x: F.struct(F.lit(f"{name}_{own}").alias("attr"), x[own].cast("string").alias("value")))
+
+    def walk(value: Column, kind: T.DataType, name: str) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind:
+                walk(value[f.name], f.dataType, f"{name}_{f.name}")
+        elif isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.StructType):
+                parts.extend(fields(value, name, f.name) for f in kind.elementType)
+            else:
+                parts.append(F.transform(value, lambda x: F.struct(F.lit(f"_{name}").alias("attr"), x.cast("string").alias("value"))))
+        else:
+            parts.append(F.array(F.struct(F.lit(f"_{name}").alias("attr"), value.cast("string").alias("value"))))
+
+    for field in df.schema:
+        if field.name != key:
+            walk(F.col(field.name), field.dataType, field.name)
+    none = F.array().cast("array<struct<attr:string,value:string>>")
+    pairs = F.explode(F.concat(*[F.coalesce(p, none) for p in parts]))
+    return df.select(key, pairs.alias("p")).select(key, "p.attr", "p.value").where("value is not null")
+
+
 def read_config(folder: str) -> dict:
     """configs.json of a folder, overridden by configs_custom.json where there is one."""
     out: dict = {}
