@@ -157,7 +157,9 @@ def test_title_pairs_against_brute_force(spark):
     n = Counter(r for d in docs for r in runs(d))
     w = {r: np.log1p(len(docs) / (n[r] + 0.5)) for q in [*docs, *asked] for r in runs(q)}
     mass = lambda rs: sum(w[r] for r in rs)
-    want = {(i, j) for i, q in enumerate(asked) for j, d in enumerate(docs) if mass(runs(q) & runs(d)) >= (retrieve.REST + retrieve.NEED) * min(mass(runs(q)), mass(runs(d))) + 1e-4}
+    shared = {(i, j): mass(runs(q) & runs(d)) for i, q in enumerate(asked) for j, d in enumerate(docs)}
+    best = {i: max(shared[i, j] for j in range(len(docs))) for i in range(len(asked))}
+    want = {(i, j) for (i, j), x in shared.items() if x >= (retrieve.REST + retrieve.NEED) * min(mass(runs(asked[i])), mass(runs(docs[j]))) + 1e-4 and x >= retrieve.RIVAL * best[i]}
     frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id bigint, title string")
     got = {(r.a, r.b) for r in retrieve.title_pairs(frame(asked), frame(docs)).collect()}
     assert want <= got and len(want) > 50
