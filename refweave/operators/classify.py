@@ -119,7 +119,10 @@ def classified(pairs: DataFrame) -> DataFrame:
             yield part.loc[keep, ["a", "b"]]
 
     by_id = pairs.where("same_id").select("a", "b")
-    return by_id.union(pairs.where("not same_id").select("a", "b", "left", "right").mapInPandas(run, "a long, b long"))
+    # Blocks in common are no longer than the shorter title: what differs too much in length needs no look.
+    x, y = F.length(F.get("left.title", F.lit(0))), F.length(F.get("right.title", F.lit(0)))
+    near = pairs.where("not same_id").where((F.least(x, y) > 0) & (1 - F.least(x, y) / F.greatest(x, y) < MAX_TITLE_DIFFERENCE))
+    return by_id.union(near.select("a", "b", "left", "right").mapInPandas(run, "a long, b long"))
 
 
 def duplicates(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -143,3 +146,35 @@ def simple_rule(a_title: Column, b_title: Column, a_year: Column, b_year: Column
 
     years = F.coalesce(F.abs(a_year - b_year) <= 1, F.lit(True))
     return years & F.coalesce(overlap(a_title, b_title) >= title_least, F.lit(False)) & F.coalesce(overlap(a_names, b_names) >= name_least, F.lit(True))
+
+
+def _each(kind: str):
+    """A column function of two text columns, null where one of them is."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _MEASURES[kind](x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return pandas_udf(run, DoubleType())
+
+
+_MEASURES = {
+    "unmatched": lambda a, b: float(max(len(a), len(b)) - common(a.lower(), b.lower())),
+    "cost": lambda a, b: float(cost(a, b)),
+    "similar": lambda a, b: float(similar(a, b, cost(a, b))),
+    "assigned": lambda a, b: float(sum(c for c in _assigned_costs(NOT_WORD.split(a), NOT_WORD.split(b)))),
+}
+
+
+def _assigned_costs(a: list[str], b: list[str]) -> list[float]:
+    """Costs of the optimal assignment of the non-empty parts of two names."""
+    a, b = [x for x in a if x], [x for x in b if x]
+    if not a or not b:
+        return []
+    costs = np.array([[float(cost(x, y)) for y in b] for x in a])
+    return [costs[i, j] for i, j in assignment(costs)]
+
+
+def measured(kind: str, a: Column, b: Column) -> Column:
+    """Of two texts: characters of the longer outside common blocks (``unmatched``), ``cost``, whether they are ``similar``
+    enough at that cost, or the least total cost of their parts (``assigned``)."""
+    return _each(kind)(a, b)

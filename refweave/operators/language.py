@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refweave.functions.text import ascii_fold
 from refweave.sources.tables import cut
 
 DELTA, MERGE_ABOVE = 0.75, 2.0
@@ -150,3 +151,36 @@ def separations(df: DataFrame, text: str, counts: DataFrame, floor: float = 0.01
     piece = F.struct("_at", F.when(F.col("_at").isNull() | (F.col("_at") == 0) | F.col("glued"), F.coalesce("_word", F.lit(""))).otherwise(F.concat(F.lit(" "), "_word")).alias("t"))
     text_of = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), "")
     return joined.groupBy("_row", *df.columns).agg(text_of.alias("corrected")).select(*df.columns, F.when(F.col(text).isNotNull(), F.col("corrected")).alias("corrected"))
+
+
+def word_bigrams(df: DataFrame, key: str, text: str, vocabulary: DataFrame, stopwords: tuple[str, ...], lemma: DataFrame | None = None) -> DataFrame:
+    """(key, terms): bigrams of the known words of each section of a text, then its unknown words, each once.
+
+    Sections end at the marks between title and subtitle and at stopwords. A word that isn't in the vocabulary (term,
+    freq) is read as the closest term, else as the terms it is made of, else it is unknown. lemma: (word, base) of words
+    to put in their base form. A section of one word gives that word.
+    """
+    parts = F.split(F.lower(F.col(text)), r"\s*[:;.?!]+\s+|\s+[-\u2013\u2014]\s+")
+    rows = df.select(key, F.posexplode(parts).alias("s", "part")).select(key, "s", F.posexplode(F.regexp_extract_all("part", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("i", "raw"))
+    # Stopwords part sections: what follows the next one is another section.
+    stops = F.sum(F.col("raw").isin(*stopwords).cast("int")).over(Window.partitionBy(key, "s").orderBy("i"))
+    rows = rows.withColumn("part", stops).where(~F.col("raw").isin(*stopwords)).withColumn("word", ascii_fold(F.col("raw")))
+    rows = cut(rows.select(key, "s", "part", "i", "word"))
+    distinct = cut(rows.select("word").distinct())
+    terms = cut(vocabulary.groupBy(ascii_fold(F.col("term")).alias("term")).agg(F.sum("freq").alias("freq")))
+    known = distinct.join(terms.select(F.col("term").alias("word")), "word", "left_semi").select("word", F.array("word").alias("parts"))
+    other = cut(distinct.join(known.select("word"), "word", "left_anti"))
+    close = cut(corrected(other, terms).where("word <> correction").select("word", F.array("correction").alias("parts")))
+    made = compounds(other.join(close.select("word"), "word", "left_anti"), terms)
+    read = known.union(close).union(made)
+    told = rows.join(read, "word", "left")
+    each = told.select(key, "s", "part", "i", F.posexplode_outer(F.coalesce("parts", F.array("word"))).alias("j", "w"), F.col("parts").isNotNull().alias("known"))
+    if lemma is not None:
+        each = each.join(lemma.select(F.col("word").alias("w"), "base"), "w", "left").withColumn("w", F.when(F.col("known"), F.coalesce("base", "w")).otherwise(F.col("w"))).drop("base")
+    order = F.struct("i", "j", "w")
+    by_part = each.groupBy(key, "s", "part").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("known"), order))), lambda x: x["w"]).alias("ws"), F.array_sort(F.collect_list(F.when(~F.col("known"), order))).alias("un"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat_ws(" ", F.get("ws", i - 1), F.get("ws", i)))
+    grams = F.when(F.size("ws") > 1, pairs).otherwise(F.col("ws"))
+    whole = by_part.select(key, F.struct("s", "part", grams.alias("g"), F.transform("un", lambda x: x["w"]).alias("u")).alias("p")).groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    all_terms = F.concat(F.flatten(F.transform("ps", lambda p: p["g"])), F.flatten(F.transform("ps", lambda p: p["u"])))
+    return whole.select(key, F.array_distinct(all_terms).alias("terms"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +46,37 @@ def pair_scores(features: DataFrame, weights: dict[str, float] = WEIGHTS, bias:
     return type_similarities(features, kind).groupBy("grp", "a", "b").agg((1 / (1 + F.exp(-total))).alias("score"))
 
 
+def linked_pairs(features: DataFrame, threshold: float = THRESHOLD, weights: dict[str, float] = WEIGHTS, bias: float = BIAS, kind: str = "jaccard") -> DataFrame:
+    """(a, b): pairs of a group whose score exceeds the threshold.
+
+    Where all other types together can't lift a pair over the threshold, it must be like in the weightiest type. Pairs are
+    then looked for in that type only, so that a value that is common in another, such as a field that is empty, makes no
+    pair, and the other types are compared within the pairs found, from one array of features per record.
+    """
+    top = max(weights, key=lambda t: weights[t])
+    need = (math.log(threshold / (1 - threshold)) - bias - sum(w for t, w in weights.items() if w > 0 and t != top)) / weights[top]
+    features = cut(features.select("grp", "rec", "ftype", "value").distinct())
+    if need <= 0:
+        return pair_scores(features, weights, bias, kind).where(F.col("score") > threshold).select("a", "b")
+    met = type_similarities(features.where(F.col("ftype") == top), kind).where(F.col("sim") >= need).select("grp", "a", "b", F.col("sim").alias("first"))
+    used = sorted(t for t, w in weights.items() if t != top and w)
+    own = cut(features.where(F.col("ftype").isin(used)).groupBy("grp", "rec").agg(*[F.collect_list(F.when(F.col("ftype") == t, F.xxhash64("value"))).alias(t) for t in used]))
+    side = lambda s: own.select("grp", F.col("rec").alias(s), *[F.col(t).alias(f"{t}_{s}") for t in used])
+    both = cut(met).join(side("a"), ["grp", "a"], "left").join(side("b"), ["grp", "b"], "left")
+
+    def sim(t: str) -> Column:
+        x, y = F.col(f"{t}_a"), F.col(f"{t}_b")
+        shared = F.size(F.array_intersect(x, y))
+        return F.when(F.size(x) * F.size(y) * shared > 0, similarity(kind, shared, F.size(x), F.size(y))).otherwise(0.0)
+
+    total = sum((weights[t] * sim(t) for t in used), F.lit(bias) + weights[top] * F.col("first"))
+    return both.where(1 / (1 + F.exp(-total)) > threshold).select("a", "b")
+
+
 def logistic_clusters(features: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """(rec, cluster): components of the pairs above the threshold within each group; the smallest record names one."""
-    links = pair_scores(features, **how).where(F.col("score") > threshold).select("a", "b")
     alone = features.select(F.col("rec").alias("a"), F.col("rec").alias("b")).distinct()
-    return components(links.union(alone)).select(F.col("node").alias("rec"), F.col("component").alias("cluster"))
+    return components(linked_pairs(features, threshold, **how).union(alone)).select(F.col("node").alias("rec"), F.col("component").alias("cluster"))
 
 
 def simhash(features: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.functions import text as T
 from refweave.operators import classify as K
+from refweave.operators import consolidate as C
 from refweave.operators import evaluate as E
 from refweave.operators import graph as G
 from refweave.operators import language as L
@@ -17,11 +18,12 @@ from refweave.operators import lattice as A
 from refweave.operators import relational as R
 from refweave.operators import similarity as S
 from refweave.operators.relabel import relabel
-from refweave.plans.linkage import _EV, _REPF, _evaluated, _features, _grouped, _rep, _rep_features, _sql_features
-from refweave.plans.models import _CTX, NCHAR
+from refweave.plans.linkage import _EV, _MEMB, _NAMEFIT, _REPF, _evaluated, _features, _grouped, _members, _rep, _rep_features, _sql_features, _sql_vote
+from refweave.plans.models import _CTX, NCHAR, _vocabulary
 from refweave.sources import files as FI
 from refweave.sources.keyed import KeyedTable, read_samples, write_samples
 from refweave.sources.tables import cut, shared_folder, table
+from refweave.streaming.incremental import counted_by_window
 
 GATE = 25_000
 
@@ -225,6 +227,46 @@ def sc35_spacing(spark, sf_dir):
     return L.separations(refs.select("refid", "title"), "title", cut(L.context_counts(refs, "title", NCHAR))).select("refid", "corrected")
 
 
+def _two_names(spark, sf_dir, kind: str) -> DataFrame:
+    names = F.regexp_replace("a1first", "_", " ")
+    return _t(spark, sf_dir, "refmetas").where("a1sur is not null and a1first is not null").select("refid", K.measured(kind, F.col("a1sur"), names).alias(kind))
+
+
+def sc23_unmatched(spark, sf_dir):
+    return _two_names(spark, sf_dir, "unmatched")
+
+
+def sc24_costs(spark, sf_dir):
+    return _two_names(spark, sf_dir, "cost")
+
+
+def sc25_similar(spark, sf_dir):
+    return _two_names(spark, sf_dir, "similar")
+
+
+def jn15_assigned(spark, sf_dir):
+    """Least total cost of an assignment between the parts of the names."""
+    return _two_names(spark, sf_dir, "assigned")
+
+
+def sc13_word_bigrams(spark, sf_dir):
+    """Bigrams of the titles' known words, corrected and taken apart where need be."""
+    _, known = _vocabulary(spark, sf_dir)
+    return L.word_bigrams(_t(spark, sf_dir, "refmetas").select("refid", "title"), "refid", "title", known, tuple(T.STOPWORDS)).select("refid", F.array_join("terms", "|").alias("terms"))
+
+
+def ag16_majority_names(spark, sf_dir):
+    """The most supported name at every author's place of a group."""
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), *[F.col(f"a{i}{c}").alias(c) for c in ("sur", "init", "first")]) for i in range(1, 5)]))
+    rows = _members(spark, sf_dir).select("grp", "refid", at.alias("n")).select(F.concat_ws("#", "grp", "n.pos").alias("grp"), "refid", "n.sur", "n.init", "n.first").where("coalesce(sur, init, first) is not null")
+    return C.majority_name(rows, ["sur", "init", "first"], "refid")
+
+
+def stream_window_counts(spark, sf_dir):
+    """Events per type and day, as the streaming operator counts them."""
+    return counted_by_window(_t(spark, sf_dir, "events"))
+
+
 # --- groups and lattices ---
 
 
@@ -286,7 +328,11 @@ _LONG_FIELDS = " union all ".join(
     + [f"select refid, 'authors_{n}', a{i}{c} from refmetas where a{i}sur is not null and a{i}{c} is not null" for i in range(1, 5) for n, c in (("surname", "sur"), ("first", "first"))]
 )
 
+_NAME_ROWS = " union all ".join(f"select grp || '#{i}' as grp, refid, a{i}sur as sur, a{i}init as init, a{i}first as first from m0 where coalesce(a{i}sur, a{i}init, a{i}first) is not null" for i in range(1, 5))
+
 SQL = {
+    "ag16_majority_names": f"with {_MEMB.replace('memb as', 'm0 as', 1)}, memb as ({_NAME_ROWS}), {_sql_vote(['sur', 'init', 'first'], _NAMEFIT(['sur', 'init', 'first']))} select * from won",
+    "stream_window_counts": "select date_trunc('day', ts) as start, event_type, count(*) as n from events where ts is not null group by 1, 2",
     "snk1_overwrite": "select linkid, refid, title, year from refmetas where linkid is not null qualify row_number() over (partition by linkid order by loaded_at desc, refid desc) = 1",
     "snk2_partial_update": "select refid, linkid, d as duplicate, d is not null as has_duplicate from refmetas left join (select refid, min(duplicateid) as d from dupmembers group by refid) using (refid)",
     "snk3_create_table": "select distinct repidindex, label from components where repidindex is not null",

@@ -152,3 +152,50 @@ def test_curves(spark):
     row = spark.createDataFrame([(8.0,)], "x double").select(T.root_curve(F.col("x"), 2.0, 3.0, 0.5).alias("r"), T.double_logistic_curve(F.col("x"), 1.0, 4.0, 0.1).alias("d")).first()
     curve = lambda t, g, k, f0: g / (1 + math.exp(-k * g * t) * (g / f0 - 1))
     assert row.r == pytest.approx(3.5) and row.d == pytest.approx(curve(8, 1, 1, 0.1) + curve(8, 1, 0.25, 0.1 / 8000))
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.01])
+def test_linked_pairs_are_those_of_all_scores(spark, threshold):
+    rng = random.Random(3)
+    rows = []
+    for rec in range(40):
+        grams = rng.sample(range(30), 12) if rec % 3 else list(range(10)) + [rng.randrange(30)]
+        rows += [("g" if rec < 30 else "h", rec, "title", f"t{g}") for g in set(grams)]
+        rows += [("g" if rec < 30 else "h", rec, t, v) for t, v in (("pubnumber", "issue=None"), ("init", f"i{rng.randrange(3)}"), ("source", f"s{rng.randrange(4)}"), ("surname", f"n{rng.randrange(4)}")) if rng.random() < 0.8]
+    features = spark.createDataFrame(rows, "grp string, rec long, ftype string, value string")
+    want = {(r.a, r.b) for r in S.pair_scores(features).where(F.col("score") > threshold).collect()}
+    assert {(r.a, r.b) for r in S.linked_pairs(features, threshold).collect()} == want and want
+
+
+def test_name_measures(spark):
+    from difflib import SequenceMatcher
+
+    from refweave.operators import classify as K
+
+    rows = [("Müller-Lüdenscheidt", "Lüdenscheid Mueller"), ("a b", ""), (None, "x"), ("2001", "2002"), ("Smith", "Smyth")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [tuple(r) for r in df.select(*[K.measured(k, F.col("a"), F.col("b")).alias(k) for k in ("unmatched", "cost", "similar", "assigned")]).collect()]
+    matched = sum(m.size for m in SequenceMatcher(None, rows[0][0].lower(), rows[0][1].lower()).get_matching_blocks())
+    assert got[0][0] == 19 - matched and got[0][3] == K.cost("Müller", "Mueller") + K.cost("Lüdenscheidt", "Lüdenscheid")
+    assert got[1][3] == 0 and all(x is None or x != x for x in got[2])
+    assert got[3][2] == 1 and got[4][2] == float(K.cost("Smith", "Smyth") / 5 < 0.25)
+
+
+def test_word_bigrams(spark):
+    texts = [(1, "Das alte Haus am See: Hausboote und Glashaus"), (2, "Haus"), (3, None), (4, "alte Hauss Qwrtz")]
+    terms = [("alte", 9), ("haus", 9), ("see", 3), ("boote", 3), ("glas", 3)]
+    got = {r.id: r.terms for r in L.word_bigrams(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame(terms, "term string, freq long"), ("das", "am", "und"), spark.createDataFrame([("boote", "boot")], "word string, base string")).collect()}
+    assert got == {1: ["alte haus", "see", "haus boot", "glas haus"], 2: ["haus"], 4: ["alte haus", "qwrtz"]}
+
+
+def test_stream_of_mentions(spark, tmp_path):
+    from refweave.streaming.incremental import counted_by_window, label_stream
+
+    spark.createDataFrame([("r1", "7")], "repid string, label string").write.parquet(str(tmp_path / "known"))
+    new = spark.createDataFrame([(1, "r1"), (2, "r2"), (3, None), (1, "r1")], "mentionid long, repid string")
+    new.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(new.schema).parquet(str(tmp_path / "in"))
+    label_stream(spark, source, str(tmp_path / "known"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
+    assert {(r.mentionid, r.label) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "7"), (2, "s_r2")}
+    events = spark.sql("select timestamp'2024-01-01 10:00:00' as ts, 'a' as event_type union all select timestamp'2024-01-01 23:59:59', 'a' union all select timestamp'2024-01-02 00:00:00', 'a'")
+    assert sorted(r.n for r in counted_by_window(events).collect()) == [1, 2]
