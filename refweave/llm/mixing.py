@@ -5,8 +5,10 @@ total / tokens of the source. Documents are ranked by size within their source
 by a range partition and the counts of its partitions, the expected copies are
 prefix-summed along that order, one random offset per mix and source is added,
 and a document comes out once per integer boundary crossed. As neighbours in
-the order are of like size, the tokens reached follow the weights closely, and
-no document can exceed the ceiling of its expected copies.
+the order are of like size, the tokens reached follow the weights closely; what
+is left to chance is whether the few largest documents are hit, so that of
+OFFSETS random offsets the one whose tokens come nearest to the target is taken.
+No document can exceed the ceiling of its expected copies.
 
 total: the corpus' tokens, or less where some source can't fill its weight with
 maxrepeats copies of each document; weights are then still met.
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from refweave.sources.tables import cut, drop, parallelism
 
 
+OFFSETS = 24
+
+
 def ranked(sizes: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Adds ``rank``, from 0, along the order within ``by``, however many rows one value holds."""
     ranged = cut(sizes.repartitionByRange(parallelism(sizes), by, *order).withColumn("piece", F.spark_partition_id()))
@@ -48,10 +53,15 @@ def mixed(sizes: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     plan = plan.withColumn("weight", F.col("weight") / F.sum("weight").over(mix))
     plan = plan.withColumn("total", F.least(F.sum("have").over(mix), F.min(F.col("maxrepeats") * F.col("have") / F.col("weight")).over(mix)))
     plan = plan.withColumn("rate", F.least(F.col("weight") * F.col("total") / F.col("have"), F.col("maxrepeats").cast("double")))
-    plan = plan.withColumn("offset", F.pmod(F.xxhash64("mixname", "source", F.lit(seed)), F.lit(1_000_003)) / 1_000_003)
-    rate, offset = F.col("rate"), F.col("offset")
-    copies = F.floor((F.col("rank") + 1) * rate + offset) - F.floor(F.col("rank") * rate + offset)
-    return order.join(plan, "source").select("mixname", "source", "doc_id", "tokens", copies.cast("long").alias("copies")).where("copies > 0")
+    met = order.join(plan, "source")
+    offset = lambda k: F.pmod(F.xxhash64("mixname", "source", F.lit(seed), F.lit(k)), F.lit(1_000_003)) / 1_000_003
+    copies = lambda at: F.floor((F.col("rank") + 1) * F.col("rate") + at) - F.floor(F.col("rank") * F.col("rate") + at)
+    reached = met.groupBy("mixname", "source").agg(F.first(F.col("weight") * F.col("total")).alias("target"), *[F.sum(F.col("tokens") * copies(offset(k))).alias(f"t{k}") for k in range(OFFSETS)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), offset(k).alias("offset")) for k in range(OFFSETS)]))["offset"]
+    # One row per mix and source.
+    chosen = cut(reached.select("mixname", "source", nearest.alias("offset")))
+    both = met.join(chosen, ["mixname", "source"]).withColumn("copies", copies(F.col("offset")).cast("long"))
+    return both.select("mixname", "source", "doc_id", "tokens", "copies").where("copies > 0")
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
