@@ -13,11 +13,15 @@ from refweave.sources import files as S
 from refweave.sources.tables import cut, table
 
 
+ARRAYS = ("scan", "layout", "plain")
+
+
 def prj1_flatten(spark, sf_dir):
-    """Documents with an array of references, flattened again with the place of each."""
-    refs = table(spark, sf_dir, "refmetas").select("refid", "title", F.regexp_extract("linkid", "_(doc[0-9]+)_ref_", 1).alias("doc")).where("doc <> ''")
-    docs = refs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("refid", "title"))).alias("refs"))
-    return S.flatten_documents(docs, ["refs"], "doc").select("doc", "list_index", "ref.refid", "ref.title")
+    """Documents with an array of references per kind of extraction, flattened again with the kind and the place of each."""
+    refs = table(spark, sf_dir, "refmetas").select("refid", "title", F.regexp_extract("linkid", "_(doc[0-9]+)_ref_", 1).alias("doc"), F.regexp_extract("linkid", "_from_(scan|layout|plain)_", 1).alias("kind")).where("doc <> '' and kind <> ''")
+    own = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("refid", "title")))).alias(k)
+    docs = refs.groupBy("doc").agg(*[own(k) for k in ARRAYS])
+    return S.flatten_documents(docs, list(ARRAYS), "doc").select("doc", "pipeline", "list_index", "ref.refid", "ref.title")
 
 
 def prj4_restore_originals(spark, sf_dir):
@@ -121,6 +125,17 @@ def snk10_copy_column(spark, sf_dir):
     return table(spark, sf_dir, "mentions").select("mentionid", F.when(F.col("label").isNotNull(), F.col("label").cast("string")).alias("duplicate_id2")).distinct()
 
 
+def snk10_conditional_copy(spark, sf_dir):
+    """The target id in the place of the link id wherever there is one."""
+    return table(spark, sf_dir, "refmetas").select("refid", F.when(F.col("crossrefid").isNotNull(), F.col("crossrefid")).otherwise(F.col("linkid")).alias("linkid"))
+
+
+def src4_page(spark, sf_dir):
+    """The third page of five hundred representations in the order of their labels: paging is what is asked for."""
+    c = table(spark, sf_dir, "components").where("label is not null").select("label", "repidindex").distinct()
+    return c.orderBy("label", "repidindex").offset(1000).limit(500)
+
+
 def prj5_target_counts(spark, sf_dir):
     """Rows with each target id and its distinct values."""
     long = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("value")) for t in TARGETS]))
@@ -132,7 +147,7 @@ _LONG = " union all ".join(f"select refid, '{c}' as field, cast({c} as varchar)
 _SIG = "array_to_string([x for x in [case when title is not null then 'title' end, case when year is not null then 'year' end, case when a1sur is not null then 'a1sur' end, case when source is not null then 'source' end] if x is not null], '+')"
 
 SQL = {
-    "prj1_flatten": "with r as (select refid, title, regexp_extract(linkid, '_(doc[0-9]+)_ref_', 1) as doc from refmetas) select doc, row_number() over (partition by doc order by refid) - 1 as list_index, refid, title from r where doc <> ''",
+    "prj1_flatten": "with r as (select refid, title, regexp_extract(linkid, '_(doc[0-9]+)_ref_', 1) as doc, regexp_extract(linkid, '_from_(scan|layout|plain)_', 1) as pipeline from refmetas) select doc, pipeline, row_number() over (partition by doc, pipeline order by refid) - 1 as list_index, refid, title from r where doc <> '' and pipeline <> ''",
     "prj4_restore_originals": "select refid, first_value(title) over (partition by linkid order by loaded_at, refid) as title from refmetas",
     "prj6_pairs": _LONG,
     "prj7_mapping": "select refid, nullif(title, '') as name, nullif(source, '') as container, nullif(year, 0) as issued from refmetas",
@@ -145,6 +160,8 @@ SQL = {
     "ag12_minimal_recall": f"with {_REPF}, per as (select sub, count(*) + 1 as n from cont where sub not in (select sup from cont) group by sub) select n, count(*) as minels, sum(n * n) as pairs from per group by n",
     "ag21_signatures": f"select {_SIG} as signature, count(*) as tokens, count(distinct {{'t': title, 'y': year, 'a': a1sur, 's': source}}) as types from refmetas group by 1",
     "gr12_minimal_supersets": f"with {_REPF} select sub as minel, sup as superset from cont where sub not in (select sup from cont)",
+    "snk10_conditional_copy": "select refid, coalesce(crossrefid, linkid) as linkid from refmetas",
+    "src4_page": "select distinct label, repidindex from components where label is not null order by label, repidindex limit 500 offset 1000",
     "snk10_copy_column": "select distinct mentionid, cast(label as varchar) as duplicate_id2 from mentions",
     "prj5_target_counts": " union all ".join(f"select '{t}' as target, count(*) as n, count(distinct {t}) as ids from refmetas where {t} is not null having count(*) > 0" for t in TARGETS),
 }

@@ -47,3 +47,9 @@ def test_set_similarities(spark):
     df = spark.createDataFrame([(2, 4, 3)], "i int, a int, b int")
     got = df.select(*[T.similarity(k, F.col("i"), F.col("a"), F.col("b")).alias(k) for k in ("jaccard", "dice", "overlap", "cosine")]).first()
     assert [round(x, 4) for x in got] == [0.4, 0.5714, 0.6667, 0.5774]
+
+
+def test_folding_of_window_signs_only(spark):
+    df = spark.createDataFrame([("\u0085caf\u00e9\u0085",)], "v string")
+    row = df.select(T.ascii_fold(F.col("v"), windows_only=True).alias("w"), T.ascii_fold(F.col("v")).alias("a")).first()
+    assert "\u00e9" in row.w and "\u0085" not in row.w and "\u00e9" not in row.a
