@@ -205,7 +205,7 @@ SQL = {
     "sc8_corrections": _WORDS + ", l as (select word, term, freq, levenshtein(translate(word, 'äöüß', '1234'), translate(term, 'äöüß', '1234')) as d from rare, known where abs(length(word) - length(term)) <= 2), c as (select * from l where d <= least(2, floor(length(word) * 0.2)) and floor(length(word) * 0.2) >= 1), b as (select word, term from c qualify row_number() over (partition by word order by d, freq desc, term) = 1) select rare.word, coalesce(term, rare.word) as correction from rare left join b using (word)",
     "sc9_known_words": _WORDS + f" select word, freq >= {FREQUENT} as is_word from w where length(word) > 2",
     "sc10_language_votes": "select refid, case when title is null then 'default' else coalesce((list_sort([x for x in [" + ", ".join(f"{{'n': {v}, 'code': '{c}'}}" for c, v in _VOTES.items()) + "] if x.n > 0], 'DESC'))[1].code, 'default') end as language from refmetas",
-    "sc11_compounds": _WORDS.replace("with ", "with recursive ", 1) + ", s as (select word, []::varchar[] as parts, word as rest from w where length(word) >= 8 union select word, list_append(parts, head), unnest(list_distinct([next, regexp_replace(next, '^s(.)', '\1')])) from (select word, parts, left(rest, i) as head, substr(rest, i + 1) as next from (select word, parts, rest, unnest(range(4, length(rest))) as i from s where parts = [] or rest not in (select term from known))) where head in (select term from known) and length(next) >= 3), d as (select word, list_append(parts, rest) as parts from s where parts <> [] and length(rest) >= 4 and rest in (select term from known)) select word, array_to_string(parts, ' ') as parts from d qualify row_number() over (partition by word order by length(parts[1]) desc, len(parts), parts desc) = 1",
+    "sc11_compounds": _WORDS.replace("with ", "with recursive ", 1) + ", s as (select word, []::varchar[] as parts, word as rest from w where length(word) >= 8 union select word, list_append(parts, head), unnest(list_distinct([next, case when left(next, 1) = 's' then substr(next, 2) else next end])) from (select word, parts, left(rest, i) as head, substr(rest, i + 1) as next from (select word, parts, rest, unnest(range(4, length(rest))) as i from s where parts = [] or rest not in (select term from known))) where head in (select term from known) and length(next) >= 3), d as (select word, list_append(parts, rest) as parts from s where parts <> [] and length(rest) >= 4 and rest in (select term from known)) select word, array_to_string(parts, ' ') as parts from d qualify row_number() over (partition by word order by length(parts[1]) desc, len(parts), parts desc) = 1",
     "gr17_reduction": f"with {_REPF} select sub, sup from cont c where not exists (select 1 from cont x join cont y on x.sup = y.sub where x.sub = c.sub and y.sup = c.sup)",
     "prj19_licensed": "select refid from refmetas where (title is not null)::int + (source is not null)::int + (a1sur is not null)::int + (year is not null)::int >= 2 and (source is null or title is not null)",
     "snk4_upsert": "select lower(trim(repid, ' ')) as repid, sum(freq) as freq from mentions where repid is not null and runno in (1, 2) group by 1",
