@@ -163,3 +163,30 @@ def test_title_pairs_against_brute_force(spark):
     frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id bigint, title string")
     got = {(r.a, r.b) for r in retrieve.title_pairs(frame(asked), frame(docs)).collect()}
     assert want <= got and len(want) > 50
+
+
+def test_every_pair_of_titles_that_shares_the_floor_is_found(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(25)]
+    docs = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(120)]
+    asked = [" ".join(w if rng.random() < 0.7 else rng.choice(words) for w in d.split()) for d in docs]
+    docs += [f"{d} volume {i}" for i, d in enumerate(asked) if i % 3 == 0]
+    runs = lambda t: {tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))}
+    n = Counter(r for d in docs for r in runs(d))
+    mass = lambda rs: sum(np.log1p(len(docs) / (n[r] + 0.5)) for r in rs)
+    share = {(i, j): mass(runs(q) & runs(d)) / min(mass(runs(q)), mass(runs(d))) for i, q in enumerate(asked) for j, d in enumerate(docs)}
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id bigint, title string")
+    got = {(r.a, r.b) for r in retrieve.title_pairs(frame(asked), frame(docs)).collect()}
+    want = {p for p, x in share.items() if x >= retrieve.FLOOR + 1e-4}
+    assert want <= got and len(want) > 100
+    assert all(share[p] >= retrieve.FLOOR - 1e-4 for p in got)
+
+
+def test_another_volume_of_the_very_title_hides_no_record(spark):
+    rng = random.Random(3)
+    title = lambda: ["".join(rng.choices("abcdefghiklmnoprstuw", k=8)) for _ in range(12)]
+    asked = title()
+    spelled = [w + "x" if i in (3, 6, 7) else w for i, w in enumerate(asked)]
+    cats = [(10, " ".join(spelled), "Miller, Jane", 2001, 0.0), (11, " ".join(asked) + " volume 2", "Miller, Jane", 2001, 0.0), *[(20 + i, " ".join(title()), "Ng, Li", 1990, 0.0) for i in range(50)]]
+    refs = spark.createDataFrame([(1, " ".join(asked), 2001, "Miller", None, 0.0)], REFS)
+    assert {(r.refid, r.catid) for r in retrieve.matches(refs, spark.createDataFrame(cats, CATS)).collect()} == {(1, 10)}
