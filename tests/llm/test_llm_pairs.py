@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from refweave.llm import bagminhash as B
 from refweave.llm import lowdiam, retrieve
+from refweave.sources.tables import cut
 
 
 def union_find(edges):
@@ -190,3 +191,20 @@ def test_another_volume_of_the_very_title_hides_no_record(spark):
     cats = [(10, " ".join(spelled), "Miller, Jane", 2001, 0.0), (11, " ".join(asked) + " volume 2", "Miller, Jane", 2001, 0.0), *[(20 + i, " ".join(title()), "Ng, Li", 1990, 0.0) for i in range(50)]]
     refs = spark.createDataFrame([(1, " ".join(asked), 2001, "Miller", None, 0.0)], REFS)
     assert {(r.refid, r.catid) for r in retrieve.matches(refs, spark.createDataFrame(cats, CATS)).collect()} == {(1, 10)}
+
+
+def test_only_pairs_that_may_share_the_floor_are_shuffled(spark):
+    rng = random.Random(5)
+    frame = lambda n: cut(spark.createDataFrame([(i, " ".join(rng.choices("abcdef", k=rng.randint(6, 10)))) for i in range(n)], "id bigint, title string"))
+    asked, docs = frame(400), frame(400)
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def written():
+        done = store.stageList(sc._jvm.java.util.ArrayList(), False, False, none, sc._jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(done.apply, range(done.size()))}
+
+    before = written()
+    found = retrieve.title_pairs(asked, docs).count()
+    pairs = max(n for stage, n in written().items() if stage not in before)
+    assert 1000 < found <= pairs < 2 * found
