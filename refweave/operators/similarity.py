@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from refweave.sources.tables import cut
 # Weights of feature types and offset of the pair classifier.
 WEIGHTS = {"refstring": 0.72939795, "matchID": 0.0, "pubnumber": 0.36280852, "source": 0.56819319, "title": 7.3914298, "surname": -1.53487169, "init": 1.21194258, "first": 0.36810172, "editor": -0.67533247, "publisher": 0.15776101}
 BIAS, THRESHOLD = -5.55875478, 0.1
+# Part of a weight by which sums of doubles are surely less wrong.
+SLACK = 1e-9
 
 
 def shared_features(features: DataFrame) -> DataFrame:
@@ -122,16 +125,37 @@ def smoothing(features: DataFrame, least: float = 0.5) -> DataFrame:
     """(f, g, weight): how much of feature f stands for g by the records (rec, f) that have both.
 
     Each record with both gives 1 over its number of features and over the frequency of g; a row is scaled by its own
-    diagonal, and what stays under ``least`` is left out. A record gives the square of its few features.
+    diagonal, and what stays under ``least`` is left out. A record gives the square of its few features. Records are
+    counted by size, so that no sum depends on order, and whole numbers decide what rounding can't tell from ``least``.
     """
     features = cut(features.select("rec", "f").distinct())
     size = features.groupBy("rec").agg(F.count("*").alias("size"))
     freq = features.groupBy("f").agg(F.count("*").alias("freq"))
     sized = features.join(size, "rec")
-    both = sized.join(features.withColumnRenamed("f", "g"), "rec").groupBy("f", "g").agg(F.sum(1 / F.col("size")).alias("met"))
-    ff = cut(both.join(freq.withColumnRenamed("f", "g"), "g").select("f", "g", (F.col("met") / F.col("freq")).alias("weight")))
-    own = ff.where("f = g").select("f", F.col("weight").alias("own"))
-    return ff.join(own, "f").select("f", "g", (F.col("weight") / F.col("own")).alias("weight")).where(F.col("weight") >= least)
+
+    def met(rows: DataFrame, by: list[str]) -> DataFrame:
+        sizes = rows.groupBy(*by, "size").agg(F.count("*").alias("n"))
+        return sizes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("met"))
+
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x["n"] / x["size"])
+    both = met(sized.join(features.withColumnRenamed("f", "g"), "rec"), ["f", "g"]).join(freq.withColumnRenamed("f", "g"), "g")
+    own = met(sized, ["f"]).join(freq, "f").select("f", F.col("met").alias("own"), F.col("freq").alias("rows"))
+    weight = total("met") / F.col("freq") / (total("own") / F.col("rows"))
+    kept = cut(both.join(own, "f").withColumn("weight", weight).where(F.col("weight") >= least * (1 - SLACK)))
+    beyond = F.col("weight") > least * (1 + SLACK)
+    limit = Fraction(str(least))
+
+    def at_least(row) -> bool:
+        common = math.lcm(*[int(x["size"]) for x in row.own])
+        given, most = (sum(common // int(x["size"]) * int(x["n"]) for x in xs) for xs in (row.met, row.own))
+        return given * int(row.rows) * limit.denominator >= most * int(row.freq) * limit.numerator
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.loc[[at_least(row) for row in p.itertuples()], ["f", "g", "weight"]]
+
+    out = ["f", "g", "weight"]
+    return kept.where(beyond).select(out).union(kept.where(~beyond).mapInPandas(run, kept.select(out).schema))
 
 
 def dbscan(pairs: DataFrame, nodes: DataFrame, eps: float, least: int = 3) -> DataFrame:

@@ -86,6 +86,19 @@ def test_smoothing_against_matrices(spark):
     assert got == pytest.approx({(f"f{i}", f"f{j}"): ff[i, j] for i in range(3) for j in range(3) if ff[i, j] >= 0.5})
 
 
+def test_smoothing_keeps_all_that_weighs_its_limit(spark):
+    # Of the records of every g, as many of each size, half have f; each h has one record more.
+    rows = []
+    for n in range(1, 20):
+        for name, more in (("g", 0), ("h", 1)):
+            for k in range(2 * n + more):
+                for size in (2, 3, 7):
+                    at = f"{name}{n}-{k}-{size}"
+                    rows += [(at, v) for v in (f"{name}{n}", "f" if k < n else f"x{at}", *[f"y{at}-{i}" for i in range(size - 2)])]
+    got = {r.g: r.weight for r in S.smoothing(spark.createDataFrame(rows, "rec string, f string")).where("f = 'f' and g rlike '^[gh]'").collect()}
+    assert got == pytest.approx({f"g{n}": 0.5 for n in range(1, 20)})
+
+
 def test_expanded_lattice(spark):
     sets = spark.createDataFrame([(["a", "b", "c"], 2), (["b", "a"], 5), (["c"], 1)], "fs array<string>, obs long")
     got = {"".join(r.fs): (r.obs, r.car) for r in A.expanded(sets).collect()}
