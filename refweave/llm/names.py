@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refweave.llm.survivor import NO_NAME
-from refweave.llm.unify import compared
+from refweave.llm.unify import compared, once
 from refweave.operators.language import deletions
 from refweave.sources.tables import cut, drop
 
@@ -57,18 +57,37 @@ def _reading(sur: Column, given: Column) -> Column:
     return F.struct(F.trim(F.when(F.length(bare) > 1, bare).otherwise(sur)).alias("spelling"), F.trim(given).alias("given"))
 
 
-def prepared(sur: Column, init: Column, first: Column) -> list[Column]:
-    """``text``, the typed surname field for comparison, and ``own``, the given name or initial beside it."""
-    beside = lambda c: compared(F.when(F.instr(c, "_") > 0, F.substring_index(c, "_", -1)))
-    text = F.trim(F.regexp_replace(compared(sur, keep=","), BESIDE, ""))
-    return [text.alias("text"), F.coalesce(F.nullif(beside(first), F.lit("")), beside(init), F.lit("")).alias("own")]
+def _plainly(text: Column) -> Column:
+    """Words parted by one space, of a text in which commas were kept."""
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+
+
+def _compared(df: DataFrame, keep: list[str], *values: Column, commas: bool = False) -> DataFrame:
+    """The kept columns and ``said``, the values in compared form.
+
+    That form is an expression of hundreds of nodes and tables of letters, which the driver holds, prints and plans again
+    with every use: it stands once for all values here, and once in a plan.
+    """
+    return once(df, keep, said=F.transform(F.array(*values), lambda v: compared(v, keep="," if commas else "")))
+
+
+def prepared(records: DataFrame) -> DataFrame:
+    """(rec, text, own, none) of (rec, sur, init, first).
+
+    ``text`` is the typed surname field for comparison, ``own`` the given name or initial beside it, ``none`` whether a
+    placeholder was typed.
+    """
+    beside = lambda c: F.when(F.instr(c, "_") > 0, F.substring_index(c, "_", -1))
+    said = _compared(records, ["rec"], F.col("sur"), beside(F.col("first")), beside(F.col("init")), commas=True)
+    sur, first, init = (F.col("said")[i] for i in range(3))
+    text, own = F.trim(F.regexp_replace(sur, BESIDE, "")), F.coalesce(F.nullif(_plainly(first), F.lit("")), _plainly(init), F.lit(""))
+    return said.select("rec", text.alias("text"), own.alias("own"), _plainly(sur).isin(*NO_NAME).alias("none"))
 
 
 def readings(text: Column, own: Column) -> Column:
     """All ways to read a prepared name as spelling and given name."""
-    plainly = lambda c: F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " "))
-    left, right = F.trim(F.substring_index(text, ",", 1)), plainly(F.substring(text, F.instr(text, ",") + 1, F.length(text)))
-    plain = plainly(text)
+    left, right = F.trim(F.substring_index(text, ",", 1)), _plainly(F.substring(text, F.instr(text, ",") + 1, F.length(text)))
+    plain = _plainly(text)
     words = F.split(plain, " ")
     n = F.size(words)
     joined = lambda part: F.array_join(part, " ")
@@ -165,26 +184,34 @@ def resolve(profiles: DataFrame, records: DataFrame, fit) -> DataFrame:
     return out
 
 
-def persons(authority: DataFrame) -> DataFrame:
-    name = _reading(compared(F.col("surname")), compared(F.coalesce("firstname", F.lit(""))))
-    return authority.where("kind = 'person' and surname is not null").select("nameid", name.alias("r")).select("nameid", "r.spelling", "r.given")
+def entries(authority: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Persons (nameid, spelling, given) and firms (nameid, orgname, org, place) of the authority.
+
+    orgname is as it is written; org and place are in compared form.
+    """
+    written = ("surname", F.coalesce("firstname", F.lit("")), "orgname", "place")
+    said = cut(_compared(authority.where("kind in ('person', 'publisher')"), ["nameid", "kind", "surname", "orgname"], *(F.col(w) if isinstance(w, str) else w for w in written)))
+    name = _reading(F.col("said")[0], F.col("said")[1])
+    people = said.where("kind = 'person' and surname is not null").select("nameid", name.alias("r")).select("nameid", "r.spelling", "r.given")
+    firms = said.where("kind = 'publisher' and orgname is not null").select("nameid", "orgname", F.col("said")[2].alias("org"), F.col("said")[3].alias("place"))
+    return people, firms
 
 
 def publisher_text(name: Column) -> Column:
-    """A publisher's name for comparison, without its legal form."""
-    return F.regexp_replace(F.trim(F.regexp_replace(compared(name), LEGAL, "")), r"\b(?:u p|up)\b", "university press")
+    """A publisher's name in compared form without its legal form."""
+    return F.regexp_replace(F.trim(F.regexp_replace(name, LEGAL, "")), r"\b(?:u p|up)\b", "university press")
 
 
 def publisher_readings(names: DataFrame, firms: DataFrame) -> DataFrame:
     """(id, spelling, given) of publishers' names (id, name): their own words and their general words, each sorted.
 
-    firms: (nameid, orgname, place). A word that COMMON entries or more share is a general one. A beginning of general
+    Names and firms (org, place) are in compared form. A word that COMMON entries or more share is a general one. A beginning of general
     words stays as it is written, as it may be that of several; a word of five letters or more within two edits of a
     general word, or one made of some of its letters from the first to the last, is read as that, the most frequent first.
     """
     split = lambda text: F.filter(F.split(text, " +"), lambda w: (F.length(w) > 0) & ~w.isin(*JOINING))
-    general = cut(firms.select(F.explode(F.array_distinct(split(compared(F.col("orgname"))))).alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
-    places = firms.select(F.explode(F.split(compared(F.col("place")), " ")).alias("w")).where("length(w) > 2").distinct()
+    general = cut(firms.select(F.explode(F.array_distinct(split(F.col("org")))).alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
+    places = firms.select(F.explode(F.split("place", " ")).alias("w")).where("length(w) > 2").distinct()
     tokens = cut(names.select("id", F.explode(split(publisher_text(F.col("name")))).alias("w")).join(places, "w", "left_anti"))
     words = cut(tokens.select("w").distinct())
     begins = general.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("g")), lambda i: F.substring("g", F.lit(1), i))).alias("w")).where("length(w) > 1").distinct()
@@ -203,8 +230,8 @@ def publisher_readings(names: DataFrame, firms: DataFrame) -> DataFrame:
 
 
 def _initials(name: Column) -> Column:
-    """The first letters of the words of a publisher's name that aren't joining words."""
-    return F.array_join(F.transform(F.filter(F.split(compared(name), " "), lambda w: ~w.isin(*JOINING)), lambda w: F.substring(w, 1, 1)), "")
+    """The first letters of the words of a publisher's name in compared form that aren't joining words."""
+    return F.array_join(F.transform(F.filter(F.split(name, " "), lambda w: ~w.isin(*JOINING)), lambda w: F.substring(w, 1, 1)), "")
 
 
 def _general_fit(given: Column, full: Column, forms: Column, initials: Column) -> Column:  # noqa: ARG001
@@ -220,30 +247,28 @@ def resolved_names(refs: DataFrame, authority: DataFrame, nicknames: DataFrame |
 
     nicknames: further familiar forms (short, name), in compared form.
     """
-    authority = cut(authority)
+    people, firms = entries(authority)
     typed = lambda f: F.struct(F.lit(f"{f}1sur").alias("fieldname"), F.col(f"{f}1sur").alias("sur"), F.col(f"{f}1init").alias("init"), F.col(f"{f}1first").alias("first"))
     rows = refs.select("refid", F.explode(F.array(typed("a"), typed("e"))).alias("t")).select("refid", "t.*")
     rows = cut(rows.where("sur is not null").withColumn("rec", F.xxhash64("sur", F.coalesce("init", F.lit("\0")), F.coalesce("first", F.lit("\0")))))
     records = rows.groupBy("rec").agg(F.first("sur").alias("sur"), F.first("init").alias("init"), F.first("first").alias("first"))
-    records = cut(records.select("rec", *prepared(F.col("sur"), F.col("init"), F.col("first")), compared(F.col("sur")).isin(*NO_NAME).alias("none"))).where("not none")
+    records = cut(prepared(records)).where("not none")
     read = cut(records.select("rec", F.explode(readings(F.col("text"), F.col("own"))).alias("r")).select("rec", "r.spelling", "r.given"))
-    entries = persons(authority)
-    forms = familiar_forms(read, entries)
+    forms = familiar_forms(read, people)
     if nicknames is not None:
         more = nicknames.groupBy("short").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("names"))
         forms = forms.unionByName(more).groupBy("short").agg(F.array_join(F.sort_array(F.collect_set("names")), " ").alias("names"))
-    people = rows.select("refid", "fieldname", "rec").join(resolve(entries, with_full(read, cut(forms)), _given_fit), "rec").select("refid", "fieldname", "nameid")
+    typed_by = rows.select("refid", "fieldname", "rec").join(resolve(people, with_full(read, cut(forms)), _given_fit), "rec").select("refid", "fieldname", "nameid")
 
-    firms = authority.where("kind = 'publisher' and orgname is not null").select("nameid", "orgname", "place")
     names = refs.select("refid", F.col("publisher1").alias("rec")).where("rec is not null")
-    spelt = cut(names.select("rec").distinct())
+    spelt = cut(_compared(names.select("rec").distinct(), ["rec"], F.col("rec")).select("rec", F.col("said")[0].alias("name")))
     # Names of entries and typed names are read together; an entry goes by its number, a typed name by itself.
-    both = firms.select(F.struct("nameid", F.lit(None).cast("string").alias("rec")).alias("id"), F.col("orgname").alias("name")).union(spelt.select(F.struct(F.lit(None).cast("long").alias("nameid"), "rec"), "rec"))
+    both = firms.select(F.struct("nameid", F.lit(None).cast("string").alias("rec")).alias("id"), F.col("org").alias("name")).union(spelt.select(F.struct(F.lit(None).cast("long").alias("nameid"), "rec"), "name"))
     told = cut(publisher_readings(both, firms)).select("id.nameid", "id.rec", "spelling", "given")
     # Firms are also known by their initials, and partnerships by the first partner.
-    partners = firms.where("orgname like '%&%'").select("nameid", F.substring_index(compared(F.col("orgname")), " ", 1), F.lit(""))
-    profiles = told.where("nameid is not null").select("nameid", "spelling", "given").union(firms.select("nameid", _initials(F.col("orgname")), F.lit(""))).union(partners)
+    partners = firms.where("orgname like '%&%'").select("nameid", F.substring_index("org", " ", 1), F.lit(""))
+    profiles = told.where("nameid is not null").select("nameid", "spelling", "given").union(firms.select("nameid", _initials(F.col("org")), F.lit(""))).union(partners)
     capitals = spelt.where(F.trim("rec").rlike(r"^\p{Lu}{2,}$")).select("rec", F.lower(F.trim("rec")).alias("spelling"), F.lit("").alias("given"))
     read = told.where("rec is not null").select("rec", "spelling", "given").union(capitals).withColumn("full", F.col("given"))
     houses = names.join(resolve(profiles, read, _general_fit), "rec").select("refid", F.lit("publisher1").alias("fieldname"), "nameid")
-    return people.union(houses)
+    return typed_by.union(houses)

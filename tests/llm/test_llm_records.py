@@ -42,6 +42,28 @@ def test_no_authority_and_no_rows(spark):
     assert resolve(spark, [], [(1, "person", "A", "B", None, None)]) == {}
 
 
+def test_the_compared_form_stands_once_in_a_plan(spark, monkeypatch):
+    def nodes(e):
+        return 1 + sum(nodes(e.children().apply(i)) for i in range(e.children().size()))
+
+    def largest(df):
+        """The most nodes in the expressions of one step of the plan."""
+        plan, most = [df._jdf.queryExecution().optimizedPlan()], 0
+        while plan:
+            step = plan.pop()
+            most = max(most, sum(nodes(step.expressions().apply(i)) for i in range(step.expressions().size())))
+            plan += [step.children().apply(i) for i in range(step.children().size())]
+        return most
+
+    seen, cut = [], names.cut
+    monkeypatch.setattr(names, "cut", lambda df: seen.append(largest(df)) or cut(df))
+    one = largest(spark.createDataFrame([("A",)], "v string").select(names.compared(names.F.col("v")).alias("v")))
+    refs = [(1, "Klora", None, "Klora_Becky", None, None, None, "Tomton Verlag", 0)]
+    assert resolve(spark, refs, [(1, "person", "Klora", "Becky", None, None), (2, "publisher", None, None, "Tomton Verlag", "Holm")]) == {(1, "a1sur"): 1, (1, "publisher1"): 2}
+    large = [n for n in seen if n > 0.8 * one]
+    assert max(large) < 1.5 * one and len(large) < 5
+
+
 MEMBER = "duplicateid string, refid bigint"
 ROW = "refid bigint, title string, year bigint, a1sur string, source string, frompipeline string, extracted_at timestamp, consensus string"
 FULL = "Norm ohne Umwelt? Zur privaten Bibliothek der Risiko nach dem Wandel von Duninerholm"
