@@ -87,11 +87,12 @@ def simhash(features: DataFrame) -> DataFrame:
 
     features: (rec, f). Feature bits are those of the first half of its MD5.
     """
-    bits = []
-    for byte in range(8):
-        value = F.conv(F.substring("h", 2 * byte + 1, 2), 16, 10).cast("int")
-        bits.append(sum((F.when(F.avg(F.shiftright(value, bit).bitwiseAND(F.lit(1))) >= 0.5, F.lit(1 << bit)).otherwise(F.lit(0)) for bit in range(8)), F.lit(0)).alias(f"b{byte}"))
-    return features.select("rec", "f").distinct().withColumn("h", F.md5(F.col("f").cast("binary"))).groupBy("rec").agg(*bits)
+    hashed = features.select("rec", "f").repartition("rec").distinct().withColumn("h", F.md5(F.col("f").cast("binary")))
+    # Words of a record meet in one exchange, before 64 sums make each of them a wide row.
+    values = hashed.select("rec", *[F.conv(F.substring("h", 2 * byte + 1, 2), 16, 10).cast("int").alias(f"v{byte}") for byte in range(8)])
+    most = lambda byte, bit: 2 * F.sum(F.shiftright(f"v{byte}", bit).bitwiseAND(F.lit(1))) >= F.count("*")
+    bits = [sum((F.when(most(byte, bit), F.lit(1 << bit)).otherwise(F.lit(0)) for bit in range(8)), F.lit(0)).alias(f"b{byte}") for byte in range(8)]
+    return values.groupBy("rec").agg(*bits)
 
 
 def hamming_pairs(prints: DataFrame, k: int = 7, blocks: int = 9) -> DataFrame:
@@ -107,17 +108,20 @@ def hamming_pairs(prints: DataFrame, k: int = 7, blocks: int = 9) -> DataFrame:
     classes = cut(prints.groupBy(*sig).agg(F.min("rec").alias("rec")))
     whole = sum((F.shiftleft(F.col(f"b{i}").cast("long"), 8 * i) for i in range(8)), F.lit(0).cast("long"))
     ends = [round(64 * i / blocks) for i in range(blocks + 1)]
-    part = lambda i: F.shiftrightunsigned("bits", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1)).cast("int")
-    cut_up = classes.select("rec", whole.alias("bits")).select("rec", "bits", *[part(i).alias(f"k{i}") for i in range(blocks)])
-    two = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"k{i}").alias("ki"), F.col(f"k{j}").alias("kj")) for j in range(blocks) for i in range(j)]
-    keyed = cut_up.select("*", F.explode(F.array(*two)).alias("at")).select("*", "at.*").drop("at")
+    part = lambda i, bits: F.shiftrightunsigned(bits, ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1))
+    # The bits of both blocks in one long; a block has 32 at most, where two are all there are.
+    wide = max(ends[i + 1] - ends[i] for i in range(blocks))
+    two = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.shiftleft(part(i, "bits"), wide).bitwiseOR(part(j, "bits")).alias("same")) for j in range(blocks) for i in range(j)]
+    keyed = classes.select("rec", whole.alias("bits")).select("rec", "bits", F.explode(F.array(*two)).alias("at")).select("rec", "bits", "at.*")
     x, y = keyed.alias("x"), keyed.alias("y")
-    earlier = sum((((F.col("x.j") > p) & (F.col(f"x.k{p}") == F.col(f"y.k{p}"))).cast("int") for p in range(blocks)), F.lit(0))
-    away = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.ki") == F.col("y.ki")) & (F.col("x.kj") == F.col("y.kj"))
-    near = x.join(y, same & (F.col("x.rec") < F.col("y.rec")) & (away <= k) & (earlier == 1))
+    differ = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
+    earlier = sum((((F.col("x.j") > p) & (part(p, differ) == 0)).cast("int") for p in range(blocks)), F.lit(0))
+    away = F.bit_count(differ)
+    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.same") == F.col("y.same"))
+    # Merge joins: the file of the prints tells nothing of the pairs of blocks that are made of each of them.
+    near = x.join(y.hint("merge"), same & (F.col("x.rec") < F.col("y.rec")) & (away <= k) & (earlier == 1))
     apart = near.select(F.col("x.rec").alias("a"), F.col("y.rec").alias("b"), away.alias("distance"))
-    equal = prints.join(classes.withColumnRenamed("rec", "a"), sig).where("a < rec").select("a", F.col("rec").alias("b"), F.lit(0).alias("distance"))
+    equal = prints.join(classes.withColumnRenamed("rec", "a").hint("merge"), sig).where("a < rec").select("a", F.col("rec").alias("b"), F.lit(0).alias("distance"))
     return apart.union(equal)
 
 

@@ -1,6 +1,7 @@
 """Rows that a generator makes many of are not gathered in the driver."""
 
 from refweave.operators import consolidate as C
+from refweave.operators import similarity as S
 
 
 def broadcast(df):
@@ -14,3 +15,16 @@ def test_grams_of_a_group_are_not_broadcast(spark):
     got = C.best_representative(spark.createDataFrame(rows, "grp string, id long, value string, weight double"), 1.0)
     assert not [line for line in broadcast(got) if "gram#" in line]
     assert [tuple(r) for r in got.collect()] == [("g", 3)]
+
+
+def test_blocks_of_prints_are_not_broadcast(spark):
+    prints = spark.createDataFrame([(i, *[i * (j + 3) % 256 for j in range(8)]) for i in range(30)] + [(90, *[0] * 8)], "rec long, " + ", ".join(f"b{j} int" for j in range(8)))
+    got = S.hamming_pairs(prints, 7)
+    assert not broadcast(got)
+    assert (0, 90, 0) in [tuple(r) for r in got.collect()]
+
+
+def test_words_of_a_record_meet_in_one_exchange(spark):
+    words = spark.createDataFrame([(1, "der"), (1, "der"), (1, "staat"), (2, "staat")], "rec long, f string")
+    plan = S.simhash(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
