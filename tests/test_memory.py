@@ -1,7 +1,14 @@
 """Rows that a generator makes many of are not gathered in the driver."""
 
+from pathlib import Path
+
+import pytest
+
 from refweave.operators import consolidate as C
 from refweave.operators import similarity as S
+from refweave.plans import linkage
+
+DATA = Path("/root/testdata/sf0.001")
 
 
 def broadcast(df):
@@ -24,6 +31,11 @@ def test_blocks_of_prints_are_not_broadcast(spark):
     assert (0, 90, 0) in [tuple(r) for r in got.collect()]
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
+def test_blocks_of_prints_are_looked_for_once(spark):
+    assert "bit_count" not in linkage.gr15_simhash_blocks(spark, str(DATA))._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_words_of_a_record_meet_in_one_exchange(spark):
     words = spark.createDataFrame([(1, "der"), (1, "der"), (1, "staat"), (2, "staat")], "rec long, f string")
     plan = S.simhash(words)._jdf.queryExecution().executedPlan().toString()
