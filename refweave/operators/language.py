@@ -66,7 +66,8 @@ def corrected(words: DataFrame, vocabulary: DataFrame, ratio: float = 0.2, most:
     near = min(most, 2)
     left = words.where((F.col("allowed") >= 1) & (F.col("allowed") <= near)).withColumn("form", F.explode(deletions(F.col("word"), near)))
     right = vocabulary.withColumn("form", F.explode(deletions(F.col("term"), near)))
-    met = left.join(right, "form").select("word", "allowed", "term", "freq")
+    # Merge joins: the files of words and terms tell too little of what their forms take in the driver's memory.
+    met = left.join(right.hint("merge"), "form").select("word", "allowed", "term", "freq")
     if most > 2:
         # The shortest word with three edits has the shortest pieces; six letters are enough to look up.
         least, longest = max(1, min(6, int(3 / ratio) // 4)), 6
@@ -76,7 +77,7 @@ def corrected(words: DataFrame, vocabulary: DataFrame, ratio: float = 0.2, most:
         long = vocabulary.where(F.length("term") >= least).withColumn("size", F.explode(F.sequence(F.lit(least), F.least(F.lit(longest), F.length("term")))))
         parts = long.withColumn("y", F.explode(F.sequence(F.lit(1), F.length("term") - F.col("size") + 1))).withColumn("form", F.substring("term", F.col("y"), F.col("size"))).drop("size")
         fits = (F.abs(F.col("x") - F.col("y")) <= F.col("allowed")) & (F.abs(F.length("word") - F.length("term")) <= F.col("allowed"))
-        met = met.union(pieces.join(parts, "form").where(fits).select("word", "allowed", "term", "freq"))
+        met = met.union(pieces.join(parts.hint("merge"), "form").where(fits).select("word", "allowed", "term", "freq"))
     met = met.distinct().withColumn("away", F.levenshtein("word", "term")).where(F.col("away") <= F.col("allowed"))
     best = met.groupBy("word").agg(F.min_by("term", F.struct("away", (-F.col("freq")).alias("f"), "term")).alias("term"))
     return words.join(best, "word", "left").select("word", F.coalesce("term", "word").alias("correction"))

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from refweave.operators import consolidate as C
+from refweave.operators import language as L
 from refweave.operators import similarity as S
 from refweave.plans import linkage
 
@@ -40,3 +41,10 @@ def test_words_of_a_record_meet_in_one_exchange(spark):
     words = spark.createDataFrame([(1, "der"), (1, "der"), (1, "staat"), (2, "staat")], "rec long, f string")
     plan = S.simhash(words)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_forms_of_words_are_not_broadcast(spark):
+    words = spark.createDataFrame([("kindx",), ("staatlichkeitund",)], "word string")
+    got = L.corrected(words, spark.createDataFrame([("kind", 50), ("staatlichkeit", 30)], "term string, freq bigint"))
+    assert not [line for line in broadcast(got) if "form#" in line]
+    assert {tuple(r) for r in got.collect()} == {("kindx", "kind"), ("staatlichkeitund", "staatlichkeit")}
