@@ -11,7 +11,7 @@ from refweave.operators import graph as G
 from refweave.operators import language as L
 from refweave.operators import lattice as A
 from refweave.operators import train as M
-from refweave.plans.linkage import _REPF, _features, _grouped, _rep_features, _sql_features, _sql_ngrams
+from refweave.plans.linkage import _REPF, _grouped, _hashed_features, _rep_features, _sql_features, _sql_ngrams
 from refweave.sources import files as S
 from refweave.sources.tables import cut, table
 from refweave.streaming.incremental import label_batch
@@ -136,13 +136,13 @@ def prj19_licensed(spark, sf_dir):
 
 def gr30_training_vectors(spark, sf_dir):
     groups = table(spark, sf_dir, "dupmembers").select(F.col("refid").alias("rec"), F.col("duplicateid").alias("group")).distinct()
-    v = M.vectors(_features(_grouped(spark, sf_dir)), groups)
+    v = M.vectors(_hashed_features(_grouped(spark, sf_dir)), groups)
     return v.select("a", "b", *[F.round(t, 6).alias(t) for t in M.TYPES], "label")
 
 
 def gr30_coefficients(spark, sf_dir):
     groups = table(spark, sf_dir, "dupmembers").select(F.col("refid").alias("rec"), F.col("duplicateid").alias("group")).distinct()
-    return M.coefficients(M.vectors(_features(_grouped(spark, sf_dir)), groups))
+    return M.coefficients(M.vectors(_hashed_features(_grouped(spark, sf_dir)), groups))
 
 
 def snk4_upsert(spark, sf_dir):

@@ -7,7 +7,8 @@ import pytest
 from refweave.operators import consolidate as C
 from refweave.operators import language as L
 from refweave.operators import similarity as S
-from refweave.plans import linkage
+from refweave.operators import train as M
+from refweave.plans import linkage, models
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -48,3 +49,18 @@ def test_forms_of_words_are_not_broadcast(spark):
     got = L.corrected(words, spark.createDataFrame([("kind", 50), ("staatlichkeit", 30)], "term string, freq bigint"))
     assert not [line for line in broadcast(got) if "form#" in line]
     assert {tuple(r) for r in got.collect()} == {("kindx", "kind"), ("staatlichkeitund", "staatlichkeit")}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
+def test_features_of_labelled_pairs_are_not_moved(spark):
+    got = models.gr30_training_vectors(spark, str(DATA))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "ftype" not in plan and "file:" + spark.sparkContext.getConf().get("spark.checkpoint.dir") not in plan
+    assert {tuple(r) for r in got.select("a", "b").collect()} == {tuple(r) for r in linkage.gr5_pair_scores(spark, str(DATA)).join(got, ["a", "b"]).select("a", "b").collect()}
+
+
+def test_vectors_of_pairs(spark):
+    sets = spark.createDataFrame([("g", 1, [1, 2, 3], [7]), ("g", 2, [2, 3, 4], [8]), ("g", 3, [9], [5]), ("h", 1, [1, 2, 3], [7]), ("h", 2, [2, 3, 4], [8])], "grp string, rec long, title array<long>, source array<long>")
+    groups = spark.createDataFrame([(1, "p"), (2, "p"), (2, "q"), (3, "p")], "rec long, group string")
+    got = M.vectors(sets, groups).select("a", "b", "title", "source", "editor", "label").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 0.5, 0.0, 0.0, 0.0), (1, 2, 0.5, 0.0, 0.0, 1.0)]
